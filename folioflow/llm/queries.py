@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substrings
+from . import chat, chunks, langid, mixing, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": substrings.op1_suffix_dedup,
+        "op2_language_id": langid.op2_language_id,
+        "op3_source_mix": mixing.op3_source_mix,
+        "op5_cdc_dedup": chunks.op5_cdc_dedup,
+        "op9_chat_format": chat.op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_source_mix": mixing.op3_sql(),
+        "op9_chat_format": chat.OP9_SQL,
+    }
