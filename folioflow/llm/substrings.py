@@ -199,7 +199,8 @@ def _sliced(out: list[tuple]) -> pa.RecordBatch:
 def repeated_starts(docs: DataFrame, length: int = 400, q: int = 128, bucket_bytes: int = 1 << 20) -> DataFrame:
     """(k1, k2, start, stop): ranges of starts whose strings of `length` bytes stand elsewhere too. docs as common.keyed()."""
     long_enough = docs.filter(F.octet_length("text") >= length)
-    levels = sorted({min(q, length), (q + 3 * length) // 4 if q < length else length, length})
+    # the reach in which a least gram is sought shrinks to a quarter each time, and at last to the string itself
+    levels = sorted({length - (length - min(q, length)) // part for part in (1, 4, 16)} | {length})
     found: list[DataFrame] = []
     source = long_enough
     for level in levels:
@@ -212,10 +213,16 @@ def repeated_starts(docs: DataFrame, length: int = 400, q: int = 128, bucket_byt
         )
         marked = common.cut(rows.drop("again").join(buckets, "bucket"))
         found.append(marked.filter("state = 'same'").select("k1", "k2", "start", "stop"))
+        mixed, large = marked.filter("state = 'mixed'"), marked.filter("state = 'large'")
+        more = level < length and not large.isEmpty()
+        if more:  # copies of a segment travel once: what counts is the size of the different ones
+            size = F.max(F.col("stop") - F.col("start") + length)
+            small = large.groupBy("bucket", "whole").agg(size.alias("size")).groupBy("bucket").agg(F.sum("size").alias("size")).filter(F.col("size") <= bucket_bytes).select("bucket")
+            mixed = mixed.unionByName(large.join(small, "bucket", "left_semi"))
+            large = large.join(small, "bucket", "left_anti")
         # a mixed bucket's segments: each different one once, with its bytes
         one = (
-            marked.filter("state = 'mixed'")
-            .groupBy("bucket", "whole")
+            mixed.groupBy("bucket", "whole")
             .agg(F.min(F.struct("k1", "k2", "start", "stop")).alias("at"), (F.count("*") > 1).alias("many"))
             .select("at.k1", "at.k2", F.struct("bucket", "whole", "many", "at.start", "at.stop").alias("w"))
             .groupBy("k1", "k2")
@@ -223,9 +230,8 @@ def repeated_starts(docs: DataFrame, length: int = 400, q: int = 128, bucket_byt
         )
         bytes_of = docs.join(one, ["k1", "k2"]).select("text", "wanted").mapInArrow(lambda it: slices(it, length), "bucket long, whole long, many boolean, payload binary")
         runs = bytes_of.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: settle(it, length, 1 << 21), "bucket long, whole long, x int, y int")
-        found.append(marked.filter("state = 'mixed'").join(runs, ["bucket", "whole"]).select("k1", "k2", (F.col("start") + F.col("x")).alias("start"), (F.col("start") + F.col("y")).alias("stop")))
-        large = marked.filter("state = 'large'")
-        if level == length or large.isEmpty():
+        found.append(mixed.join(runs, ["bucket", "whole"]).select("k1", "k2", (F.col("start") + F.col("x")).alias("start"), (F.col("start") + F.col("y")).alias("stop")))
+        if not more or large.isEmpty():
             break
         # the same document again and again gives the same ranges: one row of them, whatever the number of copies
         ranges = large.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("ranges"))
