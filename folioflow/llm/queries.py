@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chunks, langid, mixing, substrings
+from . import chat, chunks, langid, mixing, neighbours, pagetext, setjoin, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": substrings.op1_suffix_dedup,
         "op2_language_id": langid.op2_language_id,
         "op3_source_mix": mixing.op3_source_mix,
+        "op4_jaccard_join": setjoin.op4_jaccard_join,
         "op5_cdc_dedup": chunks.op5_cdc_dedup,
+        "op8_html_extract": pagetext.op8_html_extract,
         "op9_chat_format": chat.op9_chat_format,
+        "op10_prefix_forest": neighbours.op10_prefix_forest,
     }
 
 
