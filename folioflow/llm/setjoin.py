@@ -9,10 +9,11 @@ that every link shares, and pivots divide the regions:
 1. Sets that are equal are one point; copies never meet each other.
 2. A point's shingle hashes are cut into parts of the hash space, more parts
    than shingles can differ between linked sets of that size, so linked points
-   agree in a whole part that isn't empty. Points with an equal part are
-   neighbours; regions are the components of that relation. Parts hold about
-   six shingles from all over a text, so common lines or passages don't join
-   unlike texts.
+   agree in a whole part that isn't empty; small sets agree in a run of hashes.
+   Points that agree are neighbours, but for pairs that do so by chance: where
+   at most four points agree, those whose counts over ranges of the hash space
+   (`profile`) differ by more than linked sets can are none. Regions are the
+   components of that relation.
 3. A region is joined exactly (`region_links`): pivots create Voronoi cells, a
    point is copied to each cell whose pivot is at most 2 tau farther than its
    own, cells are joined recursively, and small cells, or those that pivots
@@ -28,6 +29,7 @@ table gives no rows. Sets and shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Below this many shingles, parts would hold too few of them to tell texts apart.
+SMALL = 200
 STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -95,9 +99,43 @@ class Parts:
         while lows[-1] < 1 << 40:
             lows.append(max(lows[-1] + 1, lows[-1] * 17 // 10))
         self.lows = np.array(lows)
-        most = self.differences(self.lows[1:] - 1)
-        # more parts than differences, as some stay empty: the smaller, the likelier
-        self.parts = np.where(most > 0, most + 5 + most // 24, 0)
+        both = list(zip(self.lows[:-1].tolist(), (self.lows[1:] - 1).tolist(), strict=True))
+        self.runs = np.array([self._run(lo, hi) if hi < SMALL else 0 for lo, hi in both])
+        self.parts, self.salts = np.array([self._scheme(lo, hi) if hi >= SMALL else (0, 0) for lo, hi in both]).T
+
+    def _run(self, low: int, high: int) -> int:
+        """In hash order, linked sets have so many neighbours in common at least: their differences divide what they share."""
+        least = 0
+        for n in range(low, high + 1):
+            for m in range(n, n * self.den // self.num + 1):
+                shared = -(-self.num * (n + m) // (self.num + self.den))
+                apart = n + m - 2 * shared
+                if shared <= n and apart:
+                    run = -(-shared // (apart + 1))
+                    least = min(least or run, run)
+        return least
+
+    def _scheme(self, low: int, high: int) -> tuple[int, int]:
+        """Number of parts, and of ways to cut: for all of them to leave a set as few filled parts as a link may differ in has odds under 1e-15."""
+        most = int(self.differences(np.array(high)))
+        if most == 0:
+            return 0, 0
+        sizes = np.unique(np.linspace(low, high, 48).astype(np.int64))
+        best = (most + 3, 9)
+        for salts in range(1, 7):
+            for k in range(40):
+                m = most + 3 + k * max(1, most // 64)
+                if m * salts >= best[0] * best[1]:
+                    break
+                odds = -math.inf
+                for n in sizes.tolist():
+                    d = int(self.differences(np.array(n)))
+                    if d:  # all n hashes within some d of the m parts
+                        odds = max(odds, math.lgamma(m + 1) - math.lgamma(d + 1) - math.lgamma(m - d + 1) + n * math.log(d / m))
+                if salts * odds < math.log(1e-15):
+                    best = (m, salts)
+                    break
+        return best
 
     def differences(self, n: np.ndarray) -> np.ndarray:
         return n * (self.den - self.num) // self.num
@@ -111,38 +149,50 @@ class Parts:
         begin = np.cumsum(n) - n
         sig, which = [], []
         level = np.searchsorted(self.lows, n, side="right") - 1
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grown)])
+        filled = np.zeros(len(sets), bool)
         for down in (0, 1):
             b = level - down
             use = (n > 0) & (b >= 0)
             b = np.maximum(b, 0)
-            use &= self.parts[b] > 0
             if down:  # a smaller partner may stand in the scheme below
                 use &= (n * self.num + self.den - 1) // self.den < self.lows[np.minimum(level, len(self.lows) - 1)]
-            rows = np.flatnonzero(use)
-            if not len(rows):
-                continue
-            size = n[rows]
-            own = np.repeat(rows, size)
-            take = np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            m = np.repeat(self.parts[b[rows]], size).astype(np.uint64)
-            part = (all_[take] >> np.uint64(32)) * m >> np.uint64(32)
-            new = np.ones(len(take), bool)
-            new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
-            cut = np.flatnonzero(new)
-            sums = np.add.reduceat(grown[take], cut)
-            scheme = b[own[cut]].astype(np.uint64) << np.uint64(40)
-            sig.append(mix(sums + mix(scheme | part[cut] + np.uint64(1))))
-            which.append(own[cut])
-            if down == 0:
-                full = np.bincount(own[cut], minlength=len(sets))
-                few |= use & (full <= self.differences(n))
-            if empty:
-                for i in rows:
-                    m_i = int(self.parts[b[i]])
-                    held = part[(own == i)].astype(np.int64)
-                    free = np.setdiff1d(np.arange(m_i), held).astype(np.uint64)
-                    sig.append(mix(mix(np.uint64(int(b[i]) << 40) | free + np.uint64(1))))
-                    which.append(np.full(len(free), i))
+            rows = np.flatnonzero(use & (self.runs[b] > 0) & (n >= self.runs[b]))
+            if len(rows):
+                size = n[rows] - self.runs[b[rows]] + 1
+                own = np.repeat(rows, size)
+                at = np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                sig.append(mix(before[at + self.runs[b[own]]] - before[at] + mix(b[own].astype(np.uint64) << np.uint64(40))))
+                which.append(own)
+            use &= self.parts[b] > 0
+            if not down:
+                few = use.copy()
+            for salt in range(self.salts[b[use]].max(initial=0)):
+                rows = np.flatnonzero(use & (self.salts[b] > salt))
+                size = n[rows]
+                own = np.repeat(rows, size)
+                take = np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                place = all_[take] if salt == 0 else mix(all_[take] + STEP[salt % 8])
+                m = np.repeat(self.parts[b[rows]], size).astype(np.uint64)
+                part = (place >> np.uint64(32)) * m >> np.uint64(32)
+                weight = grown[take]
+                if salt:
+                    order = np.lexsort((part, own))
+                    own, part, weight = own[order], part[order], weight[order]
+                new = np.ones(len(own), bool)
+                new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+                cut = np.flatnonzero(new)
+                scheme = b[own[cut]].astype(np.uint64) << np.uint64(40) | np.uint64(salt << 36)
+                sig.append(mix(np.add.reduceat(weight, cut) + mix(scheme | part[cut] + np.uint64(1))))
+                which.append(own[cut])
+                if down == 0:
+                    filled |= np.bincount(own[cut], minlength=len(sets)) > self.differences(n)
+                if empty:
+                    for i in rows:
+                        free = np.setdiff1d(np.arange(self.parts[b[i]]), part[own == i].astype(np.int64)).astype(np.uint64)
+                        sig.append(mix(mix((np.uint64(int(b[i]) << 40 | salt << 36)) | free + np.uint64(1))))
+                        which.append(np.full(len(free), i))
+        few &= ~filled
         if not sig:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), few
         sig, which = np.concatenate(sig), np.concatenate(which)
@@ -150,6 +200,33 @@ class Parts:
         return sig[order], which[order], few
 
 
+def profile(hashes: np.ndarray) -> bytes:
+    """Counts of a set's hashes in 64 or more equal ranges, one for about four hashes; a byte each, 255 for more.
+
+    The profiles of two sets differ by no more, summed over the ranges, than the
+    sets do; that holds too where neighbouring ranges are added up.
+    """
+    bits = max(6, (len(hashes) // 4).bit_length())
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(n: int, m: int, left: bytes, right: bytes, num: int, den: int) -> bool:
+    """Whether sets of n and m hashes with these profiles aren't too far apart for a link."""
+    shared = -(-num * (n + m) // (num + den))
+    if shared > min(n, m):
+        return False
+    a, b = np.frombuffer(left, np.uint8).astype(np.int32), np.frombuffer(right, np.uint8).astype(np.int32)
+    ranges = min(len(a), len(b))
+    a, b = a.reshape(ranges, -1).sum(axis=1), b.reshape(ranges, -1).sum(axis=1)
+    return int(np.abs(a - b).sum()) <= n + m - 2 * shared
+
+
+def keep_near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("n", "m", "left", "right")), strict=True)
+        yield batch.select(["a", "b"]).filter(pa.array([may_link(*r, num, den) for r in rows], pa.bool_()))
+
+
 def describe(batches: Iterator[pa.RecordBatch], words: int, parts: Parts, empty: bool) -> Iterator[pa.RecordBatch]:
     """A row a document: size and hash of its set, and signatures where the task hasn't met the set before."""
     seen: set[int] = set()
@@ -170,44 +247,62 @@ def describe(batches: Iterator[pa.RecordBatch], words: int, parts: Parts, empty:
             odd = np.zeros(b - a, bool)
             odd[fresh] = few
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(sig.view(np.int64)))
+            new = set(fresh)
+            profiles = pa.array([profile(s) if i in new else None for i, s in enumerate(sets)], pa.binary())
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n.astype(np.int64)), pa.array(point), lists, pa.array(odd)], names=["k1", "k2", "n", "point", "sigs", "odd"])
-
-
-def sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = utf8(batch.column("text"))
-        for a, b in pieces(at):
-            sets = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a], words)
-            part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column("region"), part.column("i"), part.column("j"), part.column("side"), part.column("point"), part.column("copies"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["region", "i", "j", "side", "point", "copies", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n.astype(np.int64)), pa.array(point), lists, pa.array(odd), profiles], names=["k1", "k2", "n", "point", "sigs", "odd", "profile"])
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets on the left with all on the right."""
+    """Sizes of the intersections of all sets on the left with all on the right.
+
+    Shingles that many sets on both sides hold are counted by a matrix product,
+    exact in float32; rarer ones by going through the pairs that hold them.
+    """
     if len(left) * len(right) <= 16:
         return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left], np.int64).reshape(len(left), len(right))
     a, b = np.concatenate(left), np.concatenate(right)
     shared = np.intersect1d(a, b)
-    out = np.zeros((len(left), len(right)), np.float32)
-    rows_a, rows_b = np.repeat(np.arange(len(left)), list(map(len, left))), np.repeat(np.arange(len(right)), list(map(len, right)))
-    at_a, at_b = np.searchsorted(shared, a), np.searchsorted(shared, b)
-    in_a = np.append(shared, 0)[at_a] == a if len(shared) else np.zeros(len(a), bool)
-    in_b = np.append(shared, 0)[at_b] == b if len(shared) else np.zeros(len(b), bool)
-    in_a &= at_a < len(shared)
-    in_b &= at_b < len(shared)
-    rows_a, at_a, rows_b, at_b = rows_a[in_a], at_a[in_a], rows_b[in_b], at_b[in_b]
-    width = max(256, (1 << 22) // max(len(left), len(right), 1))
-    for s in range(0, len(shared), width):  # a stretch of shingles at a time, each product exact in float32
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(shared):
+        return out
+
+    def places(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(shared, flat)
+        held = shared[np.minimum(at, len(shared) - 1)] == flat
+        rows = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        order = np.argsort(at[held], kind="stable")
+        return at[held][order], rows[held][order]
+
+    (at_a, rows_a), (at_b, rows_b) = places(left, a), places(right, b)
+    n_a, n_b = np.bincount(at_a, minlength=len(shared)), np.bincount(at_b, minlength=len(shared))
+    often = n_a * n_b * 300 > out.size
+    dense = np.flatnonzero(often)
+    slot = np.full(len(shared), -1)
+    slot[dense] = np.arange(len(dense))
+    width = max(64, (1 << 21) // max(len(left), len(right)))
+    for s in range(0, len(dense), width):
         x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-        k = (at_a >= s) & (at_a < s + width)
-        x[rows_a[k], at_a[k] - s] = 1
-        k = (at_b >= s) & (at_b < s + width)
-        y[rows_b[k], at_b[k] - s] = 1
-        out += x @ y.T
-    return out.astype(np.int64)
+        for at, rows, z in ((at_a, rows_a, x), (at_b, rows_b, y)):
+            k = (slot[at] >= s) & (slot[at] < s + width)
+            z[rows[k], slot[at[k]] - s] = 1
+        out += (x @ y.T).astype(np.int64)
+    keep = ~often[at_a]
+    at_a, rows_a = at_a[keep], rows_a[keep]
+    first, many = np.searchsorted(at_b, at_a), n_b[at_a]
+    total = np.cumsum(many)
+    done = 0
+    while done < len(at_a):  # a few million pairs at a time
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 21))))
+        m = many[done:stop]
+        other = rows_b[np.repeat(first[done:stop] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        out += np.bincount(np.repeat(rows_a[done:stop], m) * len(right) + other, minlength=out.size).reshape(out.shape)
+        done = stop
+    return out
 
 
+#: Up to so many points with an equal part, each pair is looked at.
+FEW = 4
 LEAF = 192
 BLOCK = 512
 
@@ -227,7 +322,7 @@ def region_links(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[n
         if len(all_) > LEAF and depth < 12:
             rng = np.random.default_rng(depth)
             pivots = np.sort(rng.choice(home, min(len(home), 8), replace=False))
-            common_ = intersections([sets[i] for i in all_], [sets[i] for i in pivots])
+            common_ = np.vstack([intersections([sets[i] for i in all_[a : a + 128]], [sets[i] for i in pivots]) for a in range(0, len(all_), 128)])
             d = 1 - common_ / (size[all_][:, None] + size[pivots][None, :] - common_)
             own, nearest = d.argmin(axis=1), d.min(axis=1)
             window = d <= nearest[:, None] + 2 * tau + 1e-9
@@ -238,23 +333,30 @@ def region_links(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[n
                     if cell.any():
                         yield from join(all_[cell], all_[window[:, p]], depth + 1)
                 return
+        # in order of size, which may differ by the threshold's factor at most
+        home, all_ = home[np.argsort(size[home], kind="stable")], all_[np.argsort(size[all_], kind="stable")]
         for a in range(0, len(home), BLOCK):
-            for b in range(0, len(all_), BLOCK):
-                x, y = np.nonzero(linked(home[a : a + BLOCK], all_[b : b + BLOCK]))
+            mine = home[a : a + BLOCK]
+            lo = np.searchsorted(size[all_], -(-num * size[mine[0]] // den))
+            hi = np.searchsorted(size[all_], size[mine[-1]] * den // num, side="right")
+            for b in range(lo, hi, BLOCK):
+                theirs = all_[b : min(hi, b + BLOCK)]
+                x, y = np.nonzero(linked(mine, theirs))
                 if len(x):
-                    yield home[a + x], all_[b + y]
+                    yield mine[x], theirs[y]
 
     every = np.arange(len(sets))
     yield from join(every, every, 0)
 
 
-def join_regions(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def join_regions(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """(point, root, links): in the task's region or pair of blocks, a linked point's component and the number of documents it is linked to."""
 
-    def solve(points: list[int], sides: list[int], copies: list[int], payload: list[bytes], both: bool) -> pa.RecordBatch | None:
+    def solve(points: list[int], sides: list[int], copies: list[int], texts: list[bytes], both: bool) -> pa.RecordBatch | None:
         ids = np.array(points, np.int64)
         side, weight = np.array(sides), np.array(copies, np.float64)
-        sets = [np.frombuffer(p, np.uint64) for p in payload]
+        data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        sets = [x for a, b in pieces(at) for x in shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a], words)]
         root = np.arange(len(ids))
 
         def find(i: int) -> int:
@@ -282,7 +384,7 @@ def join_regions(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Itera
 
     key, rows = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("region", "i", "j", "point", "side", "copies", "hashes")]
+        columns = [batch.column(c).to_pylist() for c in ("region", "i", "j", "point", "side", "copies", "body")]
         for region, i, j, *row in zip(*columns, strict=True):
             if key != (region, i, j):
                 if rows and (out := solve(*zip(*rows, strict=True), key[1] != key[2])) is not None:
@@ -294,28 +396,56 @@ def join_regions(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Itera
         yield out
 
 
-def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, region_points: int = 8192) -> DataFrame:
+def dealt(member: DataFrame, num: int, den: int, region_points: int) -> DataFrame:
+    """member(root, point, n, ...) once for each task (root, i, j) that needs the point; side: whether it is of the block i.
+
+    A region of at most `region_points` points and 512 times as many shingles is
+    one block. A larger one is cut by set size, into levels of which only
+    neighbours can hold a link, and a level into blocks of that size; then each
+    pair of blocks of one level, or of two neighbours, is a task.
+    """
+    shingles = region_points * 512
+    size = member.groupBy("root").agg((F.count("*") > region_points).alias("many"), (F.sum("n") > shingles).alias("long"))
+    known = member.join(size.select("root", (F.col("many") | F.col("long")).alias("large")), "root")
+    whole = known.filter(~F.col("large")).drop("large").select("*", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(1).alias("side"))
+    step = math.log(den / num) * 1.001 if num < den else 1.0  # a little wide, as logarithms are rounded
+    large = known.filter("large").drop("large").withColumn("level", F.floor(F.log("n") / step).cast("long"))
+    levels = large.groupBy("root", "level").agg(F.greatest(F.expr(f"(count(*) - 1) div {region_points}"), F.expr(f"(sum(n) - 1) div {shingles}")).alias("more"))
+    block = lambda level, part: level * (1 << 24) + part
+    own = large.join(levels, ["root", "level"]).withColumn("own", block(F.col("level"), F.pmod(F.xxhash64("point"), F.col("more") + 1))).drop("more")
+    beside = own.withColumn("beside", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
+    others = beside.join(levels.withColumnRenamed("level", "beside"), ["root", "beside"]).withColumn("other", F.explode(F.expr("transform(sequence(0L, more), p -> beside * 16777216 + p)")))
+    pairs = others.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", (F.col("own") == F.col("i")).cast("int"))
+    return whole.unionByName(pairs.select(whole.columns))
+
+
+def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, region_points: int = 4096) -> DataFrame:
     """(k1, k2, n, component) for each row of docs, as common.keyed(): set size and the component's smallest id; links: other documents directly linked."""
     parts = Parts(num, den)
-    told = "k1 long, k2 long, n long, point long, sigs array<long>, odd boolean"
+    told = "k1 long, k2 long, n long, point long, sigs array<long>, odd boolean, profile binary"
     base = common.cut(docs.mapInArrow(lambda it: describe(it, words, parts, False), told))
     if not base.filter("odd").isEmpty():  # a set whose shingles fall into too few parts: let empty parts count as well
         base = common.cut(docs.mapInArrow(lambda it: describe(it, words, parts, True), told))
     slim = base.select("k1", "k2", "n", "point")
     signs = base.filter("size(sigs) > 0").select("point", F.explode("sigs").alias("sig"))
-    least = F.min("point").over(Window.partitionBy("sig"))
-    near = signs.withColumn("least", least).filter("point <> least").select(F.col("least").alias("a"), F.col("point").alias("b")).distinct()
+    group = Window.partitionBy("sig")
+    # copies of a set that different tasks have met are one point; their number doesn't matter
+    met = signs.withColumns({"least": F.min("point").over(group), "most": F.max("point").over(group), "rows": F.count("*").over(group)}).filter("least <> most")
+    met = common.cut(met.select("sig", "point", "least", "rows").distinct())
+    stars = met.filter((F.col("rows") > FEW) & (F.col("point") != F.col("least"))).select(F.col("least").alias("a"), F.col("point").alias("b")).distinct()
+    # where few agree, it is often by chance: all pairs of these few, if their profiles aren't too far apart
+    few = met.filter(F.col("rows") <= FEW).select("sig", "point")
+    pairs = few.withColumnRenamed("point", "a").join(few.withColumnRenamed("point", "b"), "sig").filter("a < b").select("a", "b").distinct()
+    known = base.filter("profile is not null").select("point", "n", "profile").join(few.select("point").distinct(), "point").groupBy("point").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
+    left, right = known.toDF("a", "n", "left"), known.toDF("b", "m", "right")
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(lambda it: keep_near(it, num, den), "a long, b long").unionByName(stars)
     region = components(near)  # (node, root)
-    # regions of many points are dealt to blocks, and each pair of blocks is a task
-    blocks = region.groupBy("root").agg(F.expr(f"(count(*) + {region_points} - 1) div {region_points}").alias("blocks"))
-    dealt = region.join(blocks, "root").select("root", F.col("node").alias("point"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda o: F.struct(F.least(F.col("own"), o.cast("long")).alias("i"), F.greatest(F.col("own"), o.cast("long")).alias("j")))
-    placed = dealt.select(F.col("root").alias("region"), "point", "own", F.explode(meets).alias("m")).select("region", "point", F.col("m.i").alias("i"), F.col("m.j").alias("j"), (F.col("own") == F.col("m.i")).cast("int").alias("side"))
-    holder = slim.join(region.select(F.col("node").alias("point")), "point").groupBy("point").agg(F.min(F.struct("k1", "k2")).alias("h"), F.count("*").alias("copies"))
-    asked = placed.join(holder, "point").select("region", "i", "j", "side", "point", "copies", "h.k1", "h.k2")
-    texts = docs.join(asked, ["k1", "k2"]).select("region", "i", "j", "side", "point", "copies", "text")
-    hashes = texts.mapInArrow(lambda it: sets_of(it, words), "region long, i long, j long, side int, point long, copies long, hashes binary")
-    found = common.cut(hashes.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "point").mapInArrow(lambda it: join_regions(it, num, den), "point long, root long, links long"))
+    holder = slim.join(region.select(F.col("node").alias("point")), "point").groupBy("point").agg(F.min(F.struct("k1", "k2", "n")).alias("h"), F.count("*").alias("copies"))
+    member = common.cut(region.join(holder, F.col("node") == F.col("point")).select("root", "point", "copies", "h.k1", "h.k2", "h.n"))
+    asked = dealt(member, num, den, region_points).select("k1", "k2", F.col("root").alias("region"), "i", "j", "side", "point", "copies")
+    place = ["region", "i", "j"]
+    texts = docs.join(asked, ["k1", "k2"]).select(*place, "point", "side", "copies", F.col("text").cast("binary").alias("body"))
+    found = common.cut(texts.repartition(*place).sortWithinPartitions(*place, "point").mapInArrow(lambda it: join_regions(it, words, num, den), "point long, root long, links long"))
     tops = components(found.filter("point <> root").select(F.col("root").alias("a"), F.col("point").alias("b")))
     points = slim.filter("n > 0").groupBy("point").agg(F.min(F.when(F.col("k1") != common.NULL_ID, F.col("k1"))).alias("low"), F.count("*").alias("copies"))
     links = found.groupBy("point").agg(F.sum("links").alias("links"))

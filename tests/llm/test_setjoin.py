@@ -96,10 +96,11 @@ def test_a_large_group_of_near_copies_is_divided_by_pivots():
 
 def test_sets_that_crowd_into_few_parts_are_seen():
     parts = setjoin.Parts(85, 100)
-    crowded = np.arange(8, dtype=np.uint64)
+    parts.salts = np.minimum(parts.salts, 1)
+    crowded = np.arange(300, dtype=np.uint64)
     _, _, few = parts.signatures([crowded], False)
     assert few.tolist() == [True]
-    sig, which, _ = parts.signatures([crowded, np.append(crowded[:7], np.uint64(77))], True)
+    sig, which, _ = parts.signatures([crowded, np.append(crowded[:299], np.uint64(777))], True)
     assert set(sig[which == 0]) & set(sig[which == 1])
 
 
