@@ -48,9 +48,13 @@ def _two(c: Column) -> list[Column]:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(k1, k2, pos, line, leaf, home) of the lines with words, masked; docs as common.keyed(). home: what the text's longest line begins with."""
-    rows = docs.select("k1", "k2", F.transform(F.split("text", "\n", -1), masked).alias("lines"))
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x), lead(x))))
-    found = rows.select("k1", "k2", F.xxhash64(longest["col2"]).alias("home"), F.posexplode("lines").alias("pos", "line")).filter("line <> ''")
+    rows = docs.select("k1", "k2", F.split("text", "\n", -1).alias("lines"))
+    longest = F.array_max(F.transform("lines", lambda x: F.named_struct(F.lit("size"), F.length(x), F.lit("text"), x)))["text"]
+    # a text's own value comes before its lines are rows; these are masked after, in compiled code
+    # (a split has one part at least: `outer` only spares a filter that would split once more)
+    rows = rows.withColumn("home", F.xxhash64(lead(masked(longest))))
+    found = rows.select("k1", "k2", "home", F.posexplode_outer("lines").alias("pos", "raw")).filter(F.col("raw").rlike(r"[^ \t\r\x0B\f]"))
+    found = found.select("k1", "k2", "home", "pos", masked(F.col("raw")).alias("line"))
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     return found.withColumn("leaf", F.xxhash64(words, lead(F.col("line"))))
 
@@ -127,7 +131,7 @@ lines AS (
 ), around AS (
   SELECT *, array_to_string(string_split(m, ' ')[1:3], ' ') AS head, len(string_split(m, ' ')) AS n FROM lines
 ), placed AS (
-  SELECT *, first_value(head) OVER (PARTITION BY doc_id ORDER BY length(m) DESC, head DESC) AS home FROM around
+  SELECT *, first_value(head) OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line DESC) AS home FROM around
 ), members AS (
   SELECT DISTINCT n, head, m FROM placed WHERE m <> '' QUALIFY count(DISTINCT m) OVER (PARTITION BY n, head) >= 3
 ), words AS (
