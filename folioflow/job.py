@@ -49,8 +49,12 @@ class Job:
 
     def _http(self, name: str) -> HttpEngine:
         e = self.config.engine_config(name)
-        settings = {"sampling": e.sampling, "temperature": e.temperature, "top_p": e.top_p, "extra": e.extra}
-        return HttpEngine(name, e.base_url, e.model, name if name in ("claude", "deeplx", "deepx") else "openai", e.api_key, settings, e.request_timeout)
+        settings = {"sampling": e.sampling, "temperature": e.temperature, "top_p": e.top_p, "extra": e.extra, "stream": e.stream}
+        kind = name if name in ("claude", "deeplx", "deepx") else "openai"
+        codes = self.spark.range(1).select(*(names.service_language(F.lit(x)) for x in (self.config.source_lang, self.config.target_lang))).first()
+        suffix = {"claude": "/v1/messages", "openai": "/v1/chat/completions"}.get(kind, "")
+        url = self.spark.range(1).select(names.endpoint_url(F.lit(e.base_url), suffix)).first()[0] if suffix and e.base_url else e.base_url
+        return HttpEngine(name, url, e.model, kind, e.api_key, settings, e.request_timeout, tuple(codes))
 
     def dry_run(self, path: str) -> DataFrame:
         """What a run would read: (path, extension, size)."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -310,8 +311,14 @@ def body_of(tree: Element) -> Element:
 
 
 def serialized(tree: Element, page: str) -> str:
+    """The tree as an XHTML file with the page's document type; raises if that isn't well-formed."""
     at = doctype_range(page)
-    return '<?xml version="1.0" encoding="UTF-8"?>\n' + (page[at[0] : at[1]] + "\n" if at else "") + dom.to_xhtml(tree)
+    body = dom.to_xhtml(tree)
+    try:
+        expat.ParserCreate().Parse(body.encode(), True)
+    except expat.ExpatError as e:
+        raise ValueError(f"the page can't be written as XHTML: {e}") from e
+    return '<?xml version="1.0" encoding="UTF-8"?>\n' + (page[at[0] : at[1]] + "\n" if at else "") + body
 
 
 def body_units(page: str, rules: _Compiled) -> Iterator[tuple[int, str, str, bool]]:

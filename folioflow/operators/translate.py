@@ -71,20 +71,28 @@ class HttpEngine:
     key: str = field(default="", repr=False)
     settings: dict = field(default_factory=dict)
     timeout: float = 60.0
+    langs: tuple[str, str] = ("auto", "EN")  # for services without a prompt, by their codes
 
     def translate(self, text: str, prompt: str) -> str:
-        body = services.request_body(self.kind, self.model, text, prompt, **self.settings)
+        if self.kind in ("deeplx", "deepx"):
+            body = {"text": text, "source_lang": self.langs[0], "target_lang": self.langs[1]}
+        else:
+            body = services.request_body(self.kind, self.model, text, prompt, **self.settings)
         headers = {"content-type": "application/json"}
         if self.key:
             headers |= {"x-api-key": self.key, "anthropic-version": "2023-06-01"} if self.kind == "claude" else {"authorization": f"Bearer {self.key}"}
         request = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                if body.get("stream"):
+                    return services.stream_text(self.kind, iter(lambda: r.read(8192), b""))
                 data = r.read(services.RESPONSE_BYTES + 1)
         except urllib.error.HTTPError as e:
             said = e.read(services.ERROR_BYTES).decode(errors="replace")[: services.ERROR_CHARACTERS]
             wait = e.headers.get("retry-after")
             raise ServiceError(f"HTTP {e.code}: {said}", e.code, services.retry_after_of(wait) if wait else None) from e
+        except services.StreamError as e:
+            raise ServiceError(str(e)) from e
         except OSError as e:
             raise ServiceError(f"request failed: {e}") from e
         if len(data) > services.RESPONSE_BYTES:
@@ -96,6 +104,15 @@ class HttpEngine:
             if data.get("stop_reason") in ("max_tokens", "refusal"):
                 raise ServiceError(f"stop_reason={data['stop_reason']}")
             return "".join(b.get("text") or "" for b in data.get("content") or [])
+        if self.kind in ("deeplx", "deepx"):
+            inner = data.get("data")
+            first = inner if isinstance(inner, str) else None
+            if first is None and isinstance(inner, dict):
+                first = inner.get("text") or next((t.get("text") for t in inner.get("translations") or []), None)
+            first = data.get("text") if first is None else first
+            if not isinstance(first, str):
+                raise ServiceError("unknown response format")
+            return first.strip()
         choice = next(iter(data.get("choices") or []), None)
         if choice is None:
             raise ServiceError("empty result")

@@ -419,6 +419,13 @@ def review_violations(spark, sf_dir):
     return review.violations(first.unionByName(again), u).groupBy("id", "violation").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+WITH {UNITS}, u AS (SELECT * FROM units WHERE page LIKE '%7.xhtml'), s AS (SELECT book, min(ord) AS a FROM u WHERE contains(original, 'an') GROUP BY book)
+SELECT u.book, ord FROM u JOIN s USING (book) WHERE page = 'text/doc7.xhtml' AND ord >= (SELECT min(ord) FROM u u2 WHERE page = 'text/doc7.xhtml' AND contains(original, 'an'))""")
+def retranslate_page(spark, sf_dir):
+    return packing.range_selection(paragraphs(spark, sf_dir), "an", page="doc7.xhtml").select("book", "ord")
+
+
 # ---- tokens and glossary ----------------------------------------------------
 
 TERMS = [("the end", "das Ende"), ("the", "der"), ("and", "und"), ("of", "von"), ("Thin", "dünn")]
@@ -532,6 +539,42 @@ def sse_fold(spark, sf_dir):
     return services.fold_stream(lines.unionByName(other).unionByName(end))
 
 
+@query("""
+SELECT conv_id, '[' || string_agg('{"id":"' || turn || '","text":' || to_json(text)::VARCHAR || '}', ',' ORDER BY turn) || ']' AS request FROM conversations GROUP BY conv_id""")
+def unit_requests(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    members = F.sort_array(F.collect_list(F.struct("turn", F.col("turn").cast("string").alias("id"), "text")))
+    return t.groupBy("conv_id").agg(members.alias("m")).select("conv_id", services.unit_array(F.col("m")).alias("request"))
+
+
+@query("""
+SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN NULL ELSE text || '/' || role END AS text, CASE turn % 3 WHEN 1 THEN 'stop_reason=max_tokens' END AS error FROM conversations""")
+def response_claude(spark, sf_dir):
+    stop = F.when(F.col("turn") % 3 == 1, "max_tokens").otherwise("end_turn")
+    body = F.to_json(F.struct(F.array(F.struct(F.col("text")), F.struct(F.concat(F.lit("/"), "role").alias("text"))).alias("content"), stop.alias("stop_reason")))
+    r = services.response_text("claude", body)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.text", "r.error")
+
+
+SERVICE = [(1, '{"data":" x "}'), (2, '{"data":{"text":"y"}}'), (3, '{"data":{"translations":[{"text":"z"}]}}'), (4, '{"text":"w"}'), (5, '{"data":" "}'), (6, '{"a":1}')]
+SERVICE_WANT = [(1, "x", None), (2, "y", None), (3, "z", None), (4, "w", None), (5, None, "empty translation"), (6, None, "unknown format")]
+
+
+@query(f"SELECT k, said AS text, error FROM {sql_values(SERVICE_WANT, 'k, said, error')}")
+def response_service(spark, sf_dir):
+    return values(spark, SERVICE, "k, body").select("k", services.response_text("deeplx", F.col("body")).alias("r")).select("k", "r.text", "r.error")
+
+
+STATUSES = [(1, 200, "fine", "3"), (2, 429, "slow down", "3"), (3, 500, "oops", None), (4, 403, "no", None), (5, 400, "maximum context length", "x")]
+STATUS_WANT = [(1, None, None, None), (2, "HTTP 429: slow down", 3.0, "RateLimit"), (3, "HTTP 500: oops", None, "Transient"), (4, "HTTP 403: no", None, "Permanent"), (5, "HTTP 400: maximum context length", None, "ContextOverflow")]
+
+
+@query(f"SELECT k, message, wait::DOUBLE AS wait, kind FROM {sql_values(STATUS_WANT, 'k, message, wait, kind')}")
+def status_errors(spark, sf_dir):
+    e = services.status_error(F.col("status"), F.col("body"), F.col("header"), F.lit(0.0))
+    return values(spark, STATUSES, "k, status, body, header").select("k", e.alias("e")).select("k", "e.message", F.col("e.retry_after_s").alias("wait"), "e.kind")
+
+
 def _marked(text_: str) -> str:
     return "U:" + text_
 

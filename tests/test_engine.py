@@ -118,6 +118,23 @@ def test_prompts_and_bodies():
     assert services.tail_translation_of("answer 茶，好") == "茶，好"
 
 
+def events(*said, done=True):
+    lines = [f'data: {json.dumps({"choices": [{"delta": {"content": t}}]}, ensure_ascii=False)}' for t in said]
+    return ("\n\n".join([": hello", *lines, *(["data: [DONE]"] if done else [])]) + "\n").encode()
+
+
+def test_streams():
+    data = events("a", "é茶", None, "b")
+    for size in (1, 2, 3, 1000):
+        assert services.stream_text("openai", [data[i : i + size] for i in range(0, len(data), size)]) == "aé茶b"
+    assert services.stream_text("openai", [b'data: {"choices":[]}\ndata: {"usage":{}}\ndata: {"choices":[{"delta":{"content":"x"},"finish_reason":"stop"}]}']) == "x"
+    claude = b'data: {"type":"content_block_delta","delta":{"text":"hi"}}\r\ndata: {"type":"message_stop"}\r\n'
+    assert services.stream_text("claude", [claude]) == "hi"
+    for bad, what in ((events("a", done=False), "incomplete"), (b"data: {", "JSON"), (b"\xffdata:", "UTF-8"), (b'data: {"error":1}\n', "error"), (b'data: {"choices":[{"delta":{},"finish_reason":"length"}]}', "length"), (b"data: {}\n", "choices")):
+        with pytest.raises(services.StreamError, match=what):
+            services.stream_text("openai", [bad])
+
+
 class Handler(BaseHTTPRequestHandler):
     def do_POST(self):
         body = json.loads(self.rfile.read(int(self.headers["content-length"])))
@@ -154,6 +171,16 @@ def test_http_engine(server):
         e.translate("t", "p")
 
 
+def test_other_services(server):
+    url = f"http://127.0.0.1:{server.server_port}/"
+    server.answers += [(200, {"data": " x "}), (200, {"data": {"translations": [{"text": "y"}]}}), (200, {"code": 1})]
+    e = HttpEngine("d", url, kind="deeplx", langs=("auto", "ZH"))
+    assert e.translate("t", "p") == "x" and server.seen[-1][1] == {"text": "t", "source_lang": "auto", "target_lang": "ZH"}
+    assert e.translate("t", "p") == "y"
+    with pytest.raises(ServiceError, match="format"):
+        e.translate("t", "p")
+
+
 def test_operator(spark):
     groups = spark.createDataFrame([("b", [(0, "x", "one"), (1, "y", "two")]), ("b", [(2, "z", "three")])], "book string, members array<struct<ord:long,id:string,text:string>>")
     got = translate_groups(groups, [FunctionEngine(str.upper, "up")], "p <tlang>", "A", "B", policy=POLICY).collect()
