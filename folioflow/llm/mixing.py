@@ -136,7 +136,8 @@ PRODUCTION = Mix(domains={"domain0": 4, "domain1": 3, "domain2": 2}, langs={"en"
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", n_tokens(F.col("text")).alias("n"))
+    # words are counted once; budgets, running sums and the result read the few columns that are left
+    docs = common.cut(common.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", n_tokens(F.col("text")).alias("n")))
     return mix_sources(docs, PRODUCTION, domain_of(F.col("source")), F.col("n")).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken")
 
 
