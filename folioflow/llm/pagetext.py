@@ -6,7 +6,8 @@ characters inside links, and what its ancestors say (an article, a menu, an
 advert, ...). The first pass decides the blocks whose evidence is clear; the
 second lets the undecided, mostly short ones inherit the label of the nearest
 decided neighbour, of the following one where both are as near. The page's
-edges count as boilerplate, those of an article as text.
+edges count as boilerplate, those of an article as text: what an article
+leaves undecided is text. Three list items of links in a row are a menu.
 
 A null html is an empty one, whose text is ''; so is that of a page of
 boilerplate alone. Broken markup is read as far as it goes: unknown end tags
@@ -64,6 +65,10 @@ BOILER_NAMES = frozenset(
     search form pagination pager paging toolbar skip hidden noprint tags
     """.split()
 )
+#: Names of containers that stand for the article where a page has no article or main element.
+TEXT_NAMES = frozenset(
+    "article article-body article-content articlebody content main main-content maincontent page-content post post-body post-content entry entry-content story story-body text-content body-text".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element, and the elements that keep them from looking further up.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -80,8 +85,9 @@ class Block:
     stop: float
     links: float
     heading: bool
-    article: bool  # inside an article or main element
+    article: bool  # inside an article or main element, or one named like these where there is none
     boiler: bool  # inside an element that says so
+    item: bool = False  # in a list or table
     label: bool | None = None
 
 
@@ -107,9 +113,23 @@ def _says_boiler(tag: str, attributes: str) -> bool:
     return False
 
 
+def _says_text(tag: str, attributes: str) -> int:
+    """2 for an article or main element, 1 for a container named like one, else 0."""
+    if tag in ("article", "main"):
+        return 2
+    if attributes and tag in ("div", "section", "td"):
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), (a or b or c).lower()
+            if name == "role" and value == "main" or name == "itemprop" and value == "articlebody":
+                return 2
+            if name in ("class", "id") and TEXT_NAMES & set(value.replace("_", "-").split()):
+                return 1
+    return 0
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, how much of an article
     open_: Counter = Counter()
     piece: list[str] = []
     linked = anchors = 0
@@ -123,10 +143,10 @@ def blocks(page: str) -> list[Block]:
             if text:
                 words = text.split(" ")
                 stops = sum(w.strip(".,;:!?\"'()[]«»“”¿¡").lower() in STOP_WORDS for w in words)
-                _, boiler, article = stack[-1] if stack else ("", False, False)
+                _, boiler, article = stack[-1] if stack else ("", False, 0)
                 if boiler and heading and in_article_header:
                     boiler = False
-                out.append(Block(text, len(words), stops / len(words), min(1.0, linked / len(text)), heading, article, boiler))
+                out.append(Block(text, len(words), stops / len(words), min(1.0, linked / len(text)), heading, article, boiler, bool(stack) and stack[-1][0] in ("li", "dd", "dt", "td", "th")))
         linked, heading = 0, False
 
     def pop_to(tag: str) -> None:
@@ -185,7 +205,7 @@ def blocks(page: str) -> list[Block]:
                 piece.append(" ")
             elif tag not in VOID and attributes and _says_boiler(tag, attributes):
                 flush()
-                article = stack[-1][2] if stack else False
+                article = stack[-1][2] if stack else 0
                 stack.append((tag, True, article))
                 open_[tag] += 1
             continue
@@ -202,17 +222,20 @@ def blocks(page: str) -> list[Block]:
                 if t in ends:
                     pop_to(t)
                     break
-        _, boiler, article = stack[-1] if stack else ("", False, False)
+        _, boiler, article = stack[-1] if stack else ("", False, 0)
         own = _says_boiler(tag, attributes)
         if tag == "body" and open_["head"]:
             pop_to("head")
-            _, boiler, article = stack[-1] if stack else ("", False, False)
+            _, boiler, article = stack[-1] if stack else ("", False, 0)
         if tag == "header" and article and not boiler:
             in_article_header = True
-        stack.append((tag, boiler or own, article or tag in ("article", "main")))
+        stack.append((tag, boiler or own, max(article, _says_text(tag, attributes))))
         open_[tag] += 1
         heading = tag in HEADINGS
     flush()
+    level = 2 if any(b.article == 2 and not b.boiler for b in out) else 1
+    for b in out:
+        b.article = b.article >= level
     return out
 
 
@@ -233,8 +256,9 @@ def first_pass(b: Block, has_article: bool) -> bool | None:
     """True for text, False for boilerplate, None for what its neighbours must decide."""
     if b.boiler or has_article and not b.article:
         return False
-    if b.links > LINKS_MOST and (b.words > 1 or not b.article):
-        return None if b.article and b.links < 0.9 else False
+    if b.links > LINKS_MOST:
+        # in an article, a link may be a sentence; a list of them is a menu (see main_text)
+        return None if b.article else False
     if b.text.startswith(("©", "(c)", "(C)", "Copyright ")) and len(b.text) < LONG and not b.article:
         return False
     if len(b.text) < SHORT or b.heading:
@@ -253,8 +277,7 @@ def second_pass(found: list[Block]) -> list[bool]:
     last = (-1, False)
     for i, b in enumerate(found):
         if b.label is not None:
-            # boilerplate around the article is the article's edge, which speaks for its text
-            last = (i, b.label or (i + 1 < n and found[i + 1].article and not b.article))
+            last = (i, b.label)
         before.append(last)
     out = [False] * n
     nxt = (n, False)
@@ -265,16 +288,9 @@ def second_pass(found: list[Block]) -> list[bool]:
             nxt = (i, b.label)
             continue
         (p, left), (q, right) = before[i], nxt
-        inside = b.article
-        left = left or inside and (p < 0 or not found[p].article)
-        right = right or inside and (q >= n or not found[q].article)
-        if inside and not left and not right:
-            # between boilerplate of its own article
-            out[i] = b.links < 0.5
-        else:
-            out[i] = right if q - i <= i - p else left
-            if inside and b.links < 0.5 and (left or right):
-                out[i] = True
+        inside = b.article and not b.boiler
+        # in an article, what is left undecided is text; elsewhere the nearer neighbour speaks, or the following one
+        out[i] = inside or (right if q - i <= i - p else left)
     return out
 
 
@@ -283,6 +299,15 @@ def main_text(page: str | None) -> str:
     has_article = any(b.article and not b.boiler for b in found)
     for b in found:
         b.label = first_pass(b, has_article)
+    run: list[Block] = []
+    for b in [*found, None]:
+        if b is not None and b.item and b.links > 0.9:
+            run.append(b)
+        else:
+            if len(run) >= 3:
+                for x in run:
+                    x.label = False
+            run = []
     return "\n\n".join(b.text for b, good in zip(found, second_pass(found), strict=True) if good)
 
 

@@ -46,6 +46,15 @@ def test_without_an_article_element():
     assert main_text(page) == "\n\n".join(["A heading", clean, "Tiny.", clean])
 
 
+def test_links_and_named_containers():
+    links = "".join(f"<li><a href={i}>Link number {i}</a></li>" for i in range(4))
+    clean = " ".join(LONG.split())
+    assert main_text(f"<article><p>{LONG}</p><p><a href=x>Read all of it.</a></p><ul>{links}</ul></article>") == clean + "\n\nRead all of it."
+    page = f"<body><div class='top'><a href=a>Home</a></div><div id='main-content'><h2>Head</h2><p>Short.</p><p>{LONG}</p></div><div class='widget'><p>{LONG}</p></div><p>Tail</p></body>"
+    assert main_text(page) == f"Head\n\nShort.\n\n{clean}"
+    assert main_text("<div role=main><p>One.</p></div><p>Two.</p>") == "One."
+
+
 def test_broken_and_empty_pages():
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""
     assert main_text(f"<article><p>{LONG}<b>x<p>1 < 2 & 3 &am") == " ".join(LONG.split()) + " x\n\n1 < 2 & 3 &am"
