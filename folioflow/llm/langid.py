@@ -35,6 +35,7 @@ from .bytesops import pieces, utf8
 
 UNDETERMINED = "und"
 SPACE = 32
+LONG_PART = 4 << 20  # bytes
 #: What isn't an ASCII letter or part of a longer character separates words.
 WORDY = np.array([b if b >= 128 or 97 <= b <= 122 else SPACE for b in range(256)], np.uint32)
 
@@ -70,25 +71,32 @@ class Model:
         """One row for each of the texts data[at[i]:at[i+1]]."""
         out = np.zeros((len(at) - 1, len(self.langs)))
         for a, b in pieces(at):
-            base = at[a]
-            h3, h4 = grams(data[base : at[b]], self.buckets)
-            local = at[a : b + 1] - base
-            # no gram may reach into the next text
+            total, n = np.zeros((b - a, len(self.langs))), np.zeros(b - a, np.int64)
+            # a very long text goes in parts, each with the three bytes that its last grams reach into
+            for s in range(int(at[a]), max(int(at[b]), int(at[a]) + 1), LONG_PART) if b == a + 1 else [int(at[a])]:
+                stop = min(s + LONG_PART, int(at[b])) if b == a + 1 else int(at[b])
+                self._add(data[s : min(stop + 3, int(at[b]))], stop - s, np.array([0, stop - s]) if b == a + 1 else at[a : b + 1] - s, stop == at[b], total, n)
+            out[a:b] = total / np.maximum(n, 1)[:, None]
+        return out + self.bias
+
+    def _add(self, part: np.ndarray, size: int, local: np.ndarray, ends: bool, total: np.ndarray, n: np.ndarray) -> None:
+        """Adds the scores and the number of the grams that begin in the texts part[local[i]:local[i+1]]."""
+        h3, h4 = (h[:size] for h in grams(part, self.buckets))
+        if ends:  # no gram may reach into the next text
             for k in (1, 2, 3):
                 edge = local[1:] - k
                 edge = edge[edge >= local[:-1]]
                 if k < 3:
                     h3[edge] = self.buckets
                 h4[edge] = self.buckets
-            full = np.flatnonzero(np.diff(local) > 0)
-            if not len(full):
-                continue
-            starts = local[:-1][full]
-            n = np.add.reduceat((h3 < self.buckets).astype(np.int32) + (h4 < self.buckets), starts)
-            for j in range(len(self.langs)):
-                column = self.scores[:, j]
-                out[a + full, j] = np.add.reduceat(column[h3] + column[h4], starts, dtype=np.float64) / np.maximum(n, 1)
-        return out + self.bias
+        full = np.flatnonzero(np.diff(local) > 0)
+        if not len(full):
+            return
+        starts = local[:-1][full]
+        n[full] += np.add.reduceat((h3 < self.buckets).astype(np.int32) + (h4 < self.buckets), starts)
+        for j in range(len(self.langs)):
+            column = self.scores[:, j]
+            total[full, j] += np.add.reduceat(column[h3] + column[h4], starts, dtype=np.float64)
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = self.logits(data, at) / self.temperature

@@ -40,3 +40,11 @@ def test_a_text_does_not_depend_on_its_neighbours(spark):
     alone = np.vstack([model.logits(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts])
     together = model.logits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     assert np.allclose(alone, together)
+    text = np.frombuffer("the und of nicht é ein and ".encode() * 400, np.uint8)
+    whole = model.logits(text, np.array([0, len(text)]))
+    part, langid.LONG_PART = langid.LONG_PART, 101
+    try:
+        assert np.allclose(whole, model.logits(text, np.array([0, len(text)])))
+        assert np.allclose(together, model.logits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])))
+    finally:
+        langid.LONG_PART = part
