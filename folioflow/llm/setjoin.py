@@ -262,7 +262,13 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     if len(left) * len(right) <= 16:
         return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left], np.int64).reshape(len(left), len(right))
     a, b = np.concatenate(left), np.concatenate(right)
-    shared = np.intersect1d(a, b)
+
+    def distinct(flat: np.ndarray) -> np.ndarray:
+        flat = np.sort(flat)
+        return flat[np.append(True, flat[1:] != flat[:-1])] if len(flat) else flat
+
+    both = np.sort(np.concatenate([distinct(a), distinct(b)]))
+    shared = both[:-1][both[1:] == both[:-1]]
     out = np.zeros((len(left), len(right)), np.int64)
     if not len(shared):
         return out
