@@ -11,6 +11,7 @@ and id; the document at the end is taken in part (`taken` of its `n_tokens`).
 
 Everything is DataFrame functions. A hot leaf's running sums are made from
 sums of hash ranges of about `range_rows` documents, so no task sorts a leaf.
+Budgets are broadcast up to `broadcast_leaves` leaves, else joined with a salt.
 
 Nulls in domain, lang or source form a node of their own, '(none)'; a null id
 orders as ''. Documents without tokens are never taken. Rows that tie in the
@@ -43,6 +44,7 @@ class Mix:
     max_epochs: int = 2
     seed: int = 17
     range_rows: int = 4096
+    broadcast_leaves: int = 1 << 20
 
 
 def n_tokens(text: Column) -> Column:
@@ -109,7 +111,14 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column, tokens: Column) -> Da
     ).drop(*added).filter("__n > 0")
     leaves = base.groupBy(*LEAF).agg(F.sum("__n").alias("available"), F.count("*").alias("docs"))
     budgets = leaf_budgets(leaves, mix).filter("budget > 0").select(*LEAF, F.col("available").alias("__available"), F.col("docs").alias("__docs"), F.col("budget").alias("__budget"))
-    passes = base.join(budgets, LEAF).withColumn("__epoch", F.explode(F.expr("sequence(1, cast(ceil(__budget / __available) as int))")))
+    # a hot leaf's rows stay where they are: budgets go to all tasks, or, where leaves are very many, meet them by leaf and salt
+    budgets = common.cut(budgets)
+    if budgets.count() <= mix.broadcast_leaves:
+        given = base.join(F.broadcast(budgets), LEAF)
+    else:
+        salted = budgets.withColumn("__salt", F.explode(F.expr("sequence(0L, 63L)")))
+        given = base.withColumn("__salt", F.pmod(F.col("__tie"), F.lit(64))).join(salted, [*LEAF, "__salt"]).drop("__salt")
+    passes = given.withColumn("__epoch", F.explode(F.expr("sequence(1, cast(ceil(__budget / __available) as int))")))
     key = F.md5(F.concat_ws(":", F.lit(mix.seed), "__epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     ranges = F.greatest(F.lit(1), F.expr(f"__docs div {mix.range_rows}"))
     placed = (

@@ -33,7 +33,7 @@ def test_prefix_of_seeded_epochs_with_hot_leaf(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     mix = mixing.Mix(share_percent=130, sources={"hot": 2, "s0": 9}, max_epochs=3, range_rows=20)
     got = mixing.mix_sources(docs, mix, F.lit("d"), mixing.n_tokens(F.col("text"))).collect()
-    many = mixing.mix_sources(docs.repartition(7), mixing.Mix(**{**mix.__dict__, "range_rows": 100000}), F.lit("d"), mixing.n_tokens(F.col("text"))).collect()
+    many = mixing.mix_sources(docs.repartition(7), mixing.Mix(**{**mix.__dict__, "range_rows": 100000, "broadcast_leaves": 0}), F.lit("d"), mixing.n_tokens(F.col("text"))).collect()
     key = lambda r: (r.doc_id or -1, r.epoch, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, many))
     total = sum(len((t or "").split()) for _, t, *_ in rows)
