@@ -31,13 +31,10 @@ def merge_groups(units: DataFrame, limit: int, enabled: bool = True, pages_once:
         new = (F.size(s["starts"]) == 0) | (s["held"] + x["size"] > limit)
         return F.struct(F.when(new, x["size"]).otherwise(s["held"] + x["size"]).alias("held"), F.when(new, F.concat(s["starts"], F.array(x["ord"]))).otherwise(s["starts"]).alias("starts"))
 
-    # a page's batch starts, and each one's end: what lies between has that start
-    starts = sizes.select("book", "page", "__run", F.aggregate("u", state, step)["starts"].alias("starts"))
-    marks = starts.select("book", "page", "__run", F.explode("starts").alias("ord"), F.lit(True).alias("__starts"))
-    keys = ["book", "page", "__run", "ord"]
-    joined = _left(runs, marks, keys)
-    along = Window.partitionBy("book", "page", "__run").orderBy("ord").rowsBetween(*ALL_BEFORE)
-    return joined.withColumn("group_start", F.last(F.when(F.col("__starts"), F.col("ord")), ignorenulls=True).over(along)).drop("__run", "__starts")
+    # a page's batch starts go back to its units, each of which takes the last one that isn't after it
+    starts = sizes.select("book", "page", "__run", F.aggregate("u", state, step)["starts"].alias("__starts"))
+    joined = _left(runs, starts, ["book", "page", "__run"])
+    return joined.withColumn("group_start", F.array_max(F.filter("__starts", lambda s: s <= F.col("ord")))).drop("__run", "__starts")
 
 
 def _left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
