@@ -426,7 +426,7 @@ def dealt(member: DataFrame, num: int, den: int, region_points: int) -> DataFram
 
 
 def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, region_points: int = 4096) -> DataFrame:
-    """(k1, k2, n, component) for each row of docs, as common.keyed(): set size and the component's smallest id; links: other documents directly linked."""
+    """(k1, k2, n, component, root) for each row of docs, as common.keyed(): set size, the component's smallest id and its root point (null without words); links: other documents directly linked."""
     parts = Parts(num, den)
     told = "k1 long, k2 long, n long, point long, sigs array<long>, odd boolean, profile binary"
     base = common.cut(docs.mapInArrow(lambda it: describe(it, words, parts, False), told))
@@ -457,9 +457,9 @@ def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, region_
     links = found.groupBy("point").agg(F.sum("links").alias("links"))
     top = points.join(tops.select(F.col("node").alias("point"), "root"), "point", "left").join(links, "point", "left").withColumn("root", F.coalesce("root", "point"))
     smallest = top.groupBy("root").agg(F.min("low").alias("component"))
-    named = top.join(smallest, "root").select("point", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    named = top.join(smallest, "root").select("point", "component", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     alone = F.when(F.col("k1") != common.NULL_ID, F.col("k1"))
-    return slim.join(named, "point", "left").select("k1", "k2", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(alone).alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    return slim.join(named, "point", "left").select("k1", "k2", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(alone).alias("component"), F.coalesce("links", F.lit(0)).alias("links"), "root")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,9 +468,22 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near duplicates (five words, 0.8) the document of the smallest id stays."""
-    found = link(common.keyed(docs)).filter("component is null or k1 = component").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "n", "component")
-    # rows of one id and text are one document here, whichever text of an id comes first
-    keep = found.groupBy("__k1").agg(F.min("__k2").alias("__k2"))
+    """Pipeline stage: of each component of near duplicates (five words, 0.8) one row stays, that of the smallest id (null ids last), then of the smallest text hash.
+
+    Ids play no part in what is a duplicate: rows of null or repeated ids stay
+    unless they are near duplicates. Rows without words all stay.
+    """
+    found = link(common.keyed(docs)).groupBy("root", "k1", "k2").agg(F.count("*").alias("rows"))
+    lone = F.col("root").isNull()
+    first = F.min(F.struct(F.col("k1") == common.NULL_ID, "k1", "k2", "rows")).alias("first")
+    keep = found.groupBy("root", F.when(lone, F.col("k1")).alias("own"), F.when(lone, F.col("k2")).alias("text")).agg(first)
+    keep = common.cut(keep.select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2"), (~lone & (F.col("first.rows") > 1)).alias("repeated")))
     full = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)), "__k2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    return full.join(keep, ["__k1", "__k2"], "left_semi").select(docs.columns)
+    repeated = keep.filter("repeated").drop("repeated")
+    if repeated.isEmpty():
+        return full.join(keep, ["__k1", "__k2"], "left_semi").select(docs.columns)
+    once = full.join(keep.filter("not repeated"), ["__k1", "__k2"], "left_semi").select(docs.columns)
+    # rows that repeat id and text: the first by what else they hold
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = full.join(repeated, ["__k1", "__k2"], "left_semi").groupBy("__k1", "__k2").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return once.unionByName(one.select("__row.*"))

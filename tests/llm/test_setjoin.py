@@ -113,6 +113,18 @@ def test_empty_and_stage(spark):
     assert {r.doc_id for r in got.collect()} == {3, 4, 6}
 
 
+def test_stage_keeps_one_row_of_each_component_whatever_its_ids(spark):
+    say = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    near = lambda c: say(c) + " end"
+    rows = [(None, say(c), "", 0) for c in "abc"]  # unrelated, all without an id
+    rows += [(None, near("a"), "", 0), (None, say("d"), "", 0), (9, near("d"), "", 0)]  # an id goes before none
+    rows += [(3, say("e"), "", 0), (3, say("f"), "", 0), (4, near("e"), "", 0), (5, near("f"), "", 0)]  # one id, two components
+    rows += [(None, say("g"), "", 2), (None, say("g"), "", 1), (6, say("h"), "", 1), (6, say("h"), "", 1)]  # rows that repeat id and text
+    rows += [(None, "", "", 0), (None, None, "", 0)]  # no words: no duplicates
+    got = sorted((r.doc_id or -1, (r.text or "")[:1], r.n) for r in setjoin.stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    assert got == sorted([(-1, "a", 0), (-1, "b", 0), (-1, "c", 0), (9, "d", 0), (3, "e", 0), (3, "f", 0), (-1, "g", 1), (6, "h", 1), (-1, "", 0), (-1, "", 0)])
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
