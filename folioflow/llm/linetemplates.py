@@ -14,6 +14,9 @@ they are about: the first three words of their longest lines take at least
 half as many values as there are texts. Lines of recurring templates are
 dropped from all documents. Exact copies of a text count once.
 
+The query follows its SQL to the letter. The pipeline's stage is `strict`: a
+template also recurs if enough texts of their own hold it (`independent`).
+
 Blank lines are kept. A null text is an empty one and comes back as ''; so
 does a text of which all lines go. Repeated rows get equal results, null ids
 come back, an empty table gives no rows. Templates are told apart by 64 bits
@@ -29,6 +32,13 @@ from . import common
 
 WILD = "<*>"
 SPACES = r"[ \t\r\x0B\f]+"
+#: First and last three words of a line, of a short one its halves, and the three after and before them: an edit changes few of them.
+ENDS = {
+    "head": "substring_index(line, ' ', least(3, (words + 1) div 2))",
+    "tail": "substring_index(line, ' ', -least(3, words div 2))",
+    "second": "if(words < 6, null, substring_index(substring_index(line, ' ', 6), ' ', -3))",
+    "last_but_one": "if(words < 6, null, substring_index(substring_index(line, ' ', -6), ' ', 3))",
+}
 
 
 def masked(line: Column) -> Column:
@@ -47,7 +57,7 @@ def _two(c: Column) -> list[Column]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(k1, k2, pos, line, leaf, home) of the lines with words, masked; docs as common.keyed(). home: what the text's longest line begins with."""
+    """(k1, k2, pos, line, words, leaf, home) of the lines with words, masked; docs as common.keyed(). home: what the text's longest line begins with."""
     rows = docs.select("k1", "k2", F.split("text", "\n", -1).alias("lines"))
     longest = F.array_max(F.transform("lines", lambda x: F.named_struct(F.lit("size"), F.length(x), F.lit("text"), x)))["text"]
     # a text's own value comes before its lines are rows; these are masked after, in compiled code
@@ -56,7 +66,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     found = rows.select("k1", "k2", "home", F.posexplode_outer("lines").alias("pos", "raw")).filter(F.col("raw").rlike(r"[^ \t\r\x0B\f]"))
     found = found.select("k1", "k2", "home", "pos", masked(F.col("raw")).alias("line"))
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    return found.withColumn("leaf", F.xxhash64(words, lead(F.col("line"))))
+    return found.withColumns({"words": words + 1, "leaf": F.xxhash64(words, lead(F.col("line")))})
 
 
 def templates(lines: DataFrame, slim: DataFrame, leaf_lines: int) -> DataFrame:
@@ -77,17 +87,48 @@ def templates(lines: DataFrame, slim: DataFrame, leaf_lines: int) -> DataFrame:
     return members.join(pattern, "leaf").filter(agrees).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("template"), F.col("line")).alias("h2"), *_two(text))
 
 
-def recurring_lines(docs: DataFrame, min_texts: int = 5, leaf_lines: int = 3) -> DataFrame:
+def independent(placed: DataFrame, some: DataFrame, often: DataFrame, min_texts: int) -> DataFrame:
+    """(t1, t2) of the templates `often` (in `min_texts` texts) that texts of their own hold, however many copies hold them too.
+
+    A text is its own if a third of its lines at least are in no such template;
+    the longest of these tells what the text is about. Texts that begin it
+    alike are edits of one text, and so is one that has other words at its
+    ends (`ENDS`) in common with these. A template needs `min_texts` texts that
+    are alone, and as many as the edited ones, of which a group counts
+    `min_texts` at most: longest lines of copies that are edited much vary too.
+    """
+    marked = placed.join(often.withColumn("shared", F.lit(True)), ["t1", "t2"], "left")
+    rest = F.max(F.when(F.col("shared").isNull(), F.struct("size", *ENDS))).alias("rest")
+    own = marked.groupBy("k2").agg(F.count("*").alias("lines"), F.count_if(F.col("shared").isNull()).alias("own"), rest)
+    own = own.filter("3 * own >= lines").select("k2", F.col("rest.head").alias("head"), F.array(*(f"rest.{c}" for c in ENDS if c != "head")).alias("ends"))
+    held = common.cut(some.join(often, ["t1", "t2"]).select("t1", "t2", "k2").distinct().join(own, "k2"))
+    heads = held.groupBy("t1", "t2", "head").agg(F.count("*").alias("n"))
+    edited = heads.filter("n > 1")
+    groups = edited.groupBy("t1", "t2").agg(F.sum(F.least("n", F.lit(min_texts))).alias("edited"))
+    ends = held.select("t1", "t2", "head", F.explode("ends").alias("end")).filter("end is not null").distinct()
+    known = ends.join(edited, ["t1", "t2", "head"], "left_semi").select("t1", "t2", "end").distinct()
+    stale = ends.join(known, ["t1", "t2", "end"], "left_semi").select("t1", "t2", "head")
+    alone = heads.filter("n = 1").join(stale, ["t1", "t2", "head"], "left_anti").groupBy("t1", "t2").agg(F.count("*").alias("alone"))
+    return alone.filter(F.col("alone") >= min_texts).join(groups, ["t1", "t2"], "left").filter("edited is null or alone >= edited").select("t1", "t2")
+
+
+def recurring_lines(docs: DataFrame, min_texts: int = 5, leaf_lines: int = 3, strict: bool = False) -> DataFrame:
     """(k1, k2, drops): sorted places of the lines to drop; docs as common.keyed()."""
     lines = lines_of(docs)
-    slim = common.cut(lines.select("k1", "k2", "pos", "leaf", "home", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("template"), F.col("line")).alias("h2")))
-    placed = slim.join(templates(lines, slim, leaf_lines), ["h1", "h2"], "left").select("k1", "k2", "pos", "home", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"))
+    ends = [F.length("line").alias("size"), *(F.when(F.expr(x) != "", F.xxhash64(F.expr(x))).alias(c) for c, x in ENDS.items())] if strict else []
+    slim = common.cut(lines.select("k1", "k2", "pos", "leaf", "home", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("template"), F.col("line")).alias("h2"), *ends))
+    about = ["size", *ENDS] if strict else []
+    placed = slim.join(templates(lines, slim, leaf_lines), ["h1", "h2"], "left").select("k1", "k2", "pos", "home", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"), *about)
     # plain counts leave few templates to count texts and their longest lines of
     often = placed.groupBy("t1", "t2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts).select("t1", "t2")
-    some = common.cut(placed.join(often, ["t1", "t2"]))
+    some = common.cut(placed.drop(*about).join(often, ["t1", "t2"]))
     texts = some.select("t1", "t2", "k2").distinct().groupBy("t1", "t2").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
     homes = some.select("t1", "t2", "home").distinct().groupBy("t1", "t2").agg(F.count("*").alias("homes"))
+    if strict:
+        texts = common.cut(texts)
     gone = texts.join(homes, ["t1", "t2"]).filter("2 * homes >= texts").select("t1", "t2")
+    if strict:
+        gone = gone.unionByName(independent(placed, some, texts.select("t1", "t2"), min_texts)).distinct()
     return some.join(gone, ["t1", "t2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
 
 
@@ -100,10 +141,10 @@ def without(text: Column, drops: Column) -> Column:
     return F.array_join(F.flatten(kept), "\n")
 
 
-def drop_recurring(docs: DataFrame, min_texts: int = 5, leaf_lines: int = 3) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_texts: int = 5, leaf_lines: int = 3, strict: bool = False) -> DataFrame:
     """docs with the text that is left, n_lines and n_dropped (columns of these names give way)."""
     keys = {"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)), "__k2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
-    drops = recurring_lines(common.keyed(docs), min_texts, leaf_lines).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("drops").alias("__drops"))
+    drops = recurring_lines(common.keyed(docs), min_texts, leaf_lines, strict).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("drops").alias("__drops"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.withColumns(keys).join(drops, ["__k1", "__k2"], "left")
     columns = [F.coalesce(F.when(F.col("__drops").isNotNull(), without(text, F.col("__drops"))), text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -116,7 +157,7 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, without its recurring lines; n_chars follows the text."""
-    out = drop_recurring(docs)
+    out = drop_recurring(docs, strict=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -1,3 +1,5 @@
+import random
+
 from folioflow.llm import linetemplates as lt
 
 from .oracle import assert_same
@@ -50,3 +52,37 @@ def test_repeated_rows_null_ids_stage_and_empty(spark):
     assert got.columns == df.columns
     assert sorted((r.text, r.n_chars) for r in got.collect()) == sorted([("own\nkeep", 8)] * 2 + [(f"q{c} is longer than that\nr{c}", 25) for c in "abcde"])
     assert lt.drop_recurring(df.limit(0)).count() == 0
+
+
+def staged(spark, texts):
+    return {r.doc_id: r.text for r in lt.stage(spark, docs(spark, texts), "").collect()}
+
+
+def test_stage_drops_boilerplate_that_is_the_longest_line(spark):
+    licence = " ".join(f"clause{c} of the long licence" for c in "abcdefghijkl")
+    own = lambda c: f"what text {c} says itself\nand then {c} more of it"
+    texts = [f"{own(c)}\n{licence}\nall rights are reserved" for c in "abcdef"]
+    assert staged(spark, texts) == {i: own(c) for i, c in enumerate("abcdef")}
+
+
+def test_stage_drops_boilerplate_beside_a_large_group_of_copies(spark):
+    story = lambda c: f"the one long story that is told by every copy with word{c} in it"
+    words = [a + b + c for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]
+    own = [f"{c} independent text of its own and about {c}" for c in "uvwxyz"]
+    texts = [f"{story(w)}\nthe footer line" for w in words] + [f"{o}\nthe footer line" for o in own]
+    assert staged(spark, texts) == dict(enumerate([story(w) for w in words] + own))
+
+
+def test_stage_keeps_the_lines_of_edited_copies(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    whole = [[[word() for _ in range(rnd.randrange(8, 16))] for _ in range(n)] for n in (2, 3, 4, 8, 20)]
+    texts = []
+    for body in whole:
+        for i in range(250):
+            copy = [list(line) for line in body]
+            for _ in range(1 + i % 2):
+                line = rnd.choice(copy)
+                line[rnd.randrange(len(line))] = word()
+            texts.append("\n".join(map(" ".join, copy)))
+    assert staged(spark, texts) == dict(enumerate(texts))
