@@ -15,7 +15,9 @@ half as many values as there are texts. Lines of recurring templates are
 dropped from all documents. Exact copies of a text count once.
 
 The query follows its SQL to the letter. The pipeline's stage is `strict`: a
-template also recurs if enough texts of their own hold it (`independent`).
+template also recurs if enough texts of their own hold it (`independent`), a
+leaf's template keeps a word with a letter behind the first three, and masked
+lines without a letter are told apart by their numbers.
 
 Blank lines are kept. A null text is an empty one and comes back as ''; so
 does a text of which all lines go. Repeated rows get equal results, null ids
@@ -32,6 +34,7 @@ from . import common
 
 WILD = "<*>"
 SPACES = r"[ \t\r\x0B\f]+"
+LETTER = r"\p{L}"
 #: First and last three words of a line, of a short one its halves, and the three after and before them: an edit changes few of them.
 ENDS = {
     "head": "substring_index(line, ' ', least(3, (words + 1) div 2))",
@@ -56,7 +59,7 @@ def _two(c: Column) -> list[Column]:
     return [F.xxhash64(c).alias("t1"), F.xxhash64(F.lit("template"), c).alias("t2")]
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, strict: bool = False) -> DataFrame:
     """(k1, k2, pos, line, words, leaf, home) of the lines with words, masked; docs as common.keyed(). home: what the text's longest line begins with."""
     rows = docs.select("k1", "k2", F.split("text", "\n", -1).alias("lines"))
     longest = F.array_max(F.transform("lines", lambda x: F.named_struct(F.lit("size"), F.length(x), F.lit("text"), x)))["text"]
@@ -64,12 +67,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     # (a split has one part at least: `outer` only spares a filter that would split once more)
     rows = rows.withColumn("home", F.xxhash64(lead(masked(longest))))
     found = rows.select("k1", "k2", "home", F.posexplode_outer("lines").alias("pos", "raw")).filter(F.col("raw").rlike(r"[^ \t\r\x0B\f]"))
-    found = found.select("k1", "k2", "home", "pos", masked(F.col("raw")).alias("line"))
+    line = masked(F.col("raw"))
+    if strict:  # nothing but numbers says what such a line is
+        line = F.when(F.col("raw").rlike(LETTER) & line.rlike(LETTER), line).otherwise(F.trim(F.regexp_replace("raw", SPACES, " ")))
+    found = found.select("k1", "k2", "home", "pos", line.alias("line"))
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     return found.withColumns({"words": words + 1, "leaf": F.xxhash64(words, lead(F.col("line")))})
 
 
-def templates(lines: DataFrame, slim: DataFrame, leaf_lines: int) -> DataFrame:
+def templates(lines: DataFrame, slim: DataFrame, leaf_lines: int, strict: bool = False) -> DataFrame:
     """(h1, h2, t1, t2): template of the lines that have one other than themselves."""
     crowded = slim.select("leaf", "h1").distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= leaf_lines).select("leaf")
     members = common.cut(lines.select("leaf", "line").join(crowded, "leaf").distinct())
@@ -82,6 +88,8 @@ def templates(lines: DataFrame, slim: DataFrame, leaf_lines: int) -> DataFrame:
         .select("leaf", F.transform("p", lambda x: x["word"]).alias("p"))
         .filter("size(p) >= 4 and 4 * size(filter(p, w -> w is not null)) >= 3 * size(p)")
     )
+    if strict:  # the first three words are alike in a leaf and prove nothing
+        pattern = pattern.filter(F.exists(F.expr("slice(p, 4, size(p) - 3)"), lambda w: F.coalesce(w.rlike(LETTER), F.lit(False))))
     agrees = F.forall(F.arrays_zip(F.split("line", " ").alias("w"), F.col("p").alias("q")), lambda x: x["q"].isNull() | (x["w"] == x["q"]))
     text = F.array_join(F.transform("p", lambda w: F.coalesce(w, F.lit(WILD))), " ")
     return members.join(pattern, "leaf").filter(agrees).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("template"), F.col("line")).alias("h2"), *_two(text))
@@ -114,11 +122,11 @@ def independent(placed: DataFrame, some: DataFrame, often: DataFrame, min_texts:
 
 def recurring_lines(docs: DataFrame, min_texts: int = 5, leaf_lines: int = 3, strict: bool = False) -> DataFrame:
     """(k1, k2, drops): sorted places of the lines to drop; docs as common.keyed()."""
-    lines = lines_of(docs)
+    lines = lines_of(docs, strict)
     ends = [F.length("line").alias("size"), *(F.when(F.expr(x) != "", F.xxhash64(F.expr(x))).alias(c) for c, x in ENDS.items())] if strict else []
     slim = common.cut(lines.select("k1", "k2", "pos", "leaf", "home", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("template"), F.col("line")).alias("h2"), *ends))
     about = ["size", *ENDS] if strict else []
-    placed = slim.join(templates(lines, slim, leaf_lines), ["h1", "h2"], "left").select("k1", "k2", "pos", "home", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"), *about)
+    placed = slim.join(templates(lines, slim, leaf_lines, strict), ["h1", "h2"], "left").select("k1", "k2", "pos", "home", F.coalesce("t1", "h1").alias("t1"), F.coalesce("t2", "h2").alias("t2"), *about)
     # plain counts leave few templates to count texts and their longest lines of
     often = placed.groupBy("t1", "t2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts).select("t1", "t2")
     some = common.cut(placed.drop(*about).join(often, ["t1", "t2"]))

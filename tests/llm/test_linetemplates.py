@@ -86,3 +86,11 @@ def test_stage_keeps_the_lines_of_edited_copies(spark):
                 line[rnd.randrange(len(line))] = word()
             texts.append("\n".join(map(" ".join, copy)))
     assert staged(spark, texts) == dict(enumerate(texts))
+
+
+def test_stage_keeps_unique_lines_of_one_opening(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    texts = [f"text {w} has its own beginning\nthis is the {w}\n{i} {i * 7} {i + 100}\nthis is the end" for i, w in enumerate(words, 10)]
+    texts += [f"mail {w} is about something\nSent to you {w} by us\n2024 12 31" for w in words]
+    want = [t.replace("\nthis is the end", "") for t in texts[:8]] + [t.split("\n")[0] for t in texts[8:]]
+    assert staged(spark, texts) == dict(enumerate(want))
