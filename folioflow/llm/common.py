@@ -53,3 +53,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def doc_id() -> Column:
     """The id back from k1."""
     return F.when(F.col("k1") != NULL_ID, F.col("k1")).alias("doc_id")
+
+
+def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with its own columns of these names under reserved ones, and the columns that give docs back."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(own), [F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns]

@@ -232,4 +232,5 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the model rejects go; columns stay as they are."""
-    return identify(docs, fit(docs)).filter(~F.col("rejected")).select(docs.columns)
+    held, back = common.aside(docs, [f.name for f in FIELDS])
+    return identify(held, fit(docs)).filter(~F.col("rejected")).select(back)

@@ -164,11 +164,12 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, without its recurring lines; n_chars follows the text."""
-    out = drop_recurring(docs, strict=True)
+    """Pipeline stage: every document stays, without its recurring lines; n_chars follows the text, other columns stay as they are."""
+    held, back = common.aside(docs, ["n_lines", "n_dropped"])
+    out = drop_recurring(held, strict=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(back)
 
 
 OP7_SQL = r"""

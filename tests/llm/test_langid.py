@@ -48,3 +48,11 @@ def test_a_text_does_not_depend_on_its_neighbours(spark):
         assert np.allclose(together, model.logits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])))
     finally:
         langid.LONG_PART = part
+
+
+def test_stage_leaves_columns_of_the_results_names(spark):
+    rows = [(i, "the and of with that" if i % 2 else "der die und nicht ein", "en" if i % 2 else "de", f"own{i}", i, i % 3 == 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, Score long, rejected boolean")
+    got = langid.stage(spark, docs, "")
+    assert got.schema == docs.schema
+    assert sorted(map(tuple, got.collect())) == rows

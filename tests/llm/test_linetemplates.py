@@ -94,3 +94,11 @@ def test_stage_keeps_unique_lines_of_one_opening(spark):
     texts += [f"mail {w} is about something\nSent to you {w} by us\n2024 12 31" for w in words]
     want = [t.replace("\nthis is the end", "") for t in texts[:8]] + [t.split("\n")[0] for t in texts[8:]]
     assert staged(spark, texts) == dict(enumerate(want))
+
+
+def test_stage_leaves_columns_of_the_results_names(spark):
+    rows = [(i, f"text {c} is longer than that\nthe footer line", f"lines{i}", i * 5) for i, c in enumerate("abcdef")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, N_lines string, n_dropped long")
+    got = lt.stage(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(i, t.split("\n")[0], a, b) for i, t, a, b in rows]
