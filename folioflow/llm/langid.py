@@ -11,7 +11,10 @@ most `per_lang` rows a language and `max_rows` in all, texts of at most
 `max_bytes`, the first ones by a hash of the id. A fifth of the sample sets
 the temperature of the scores and the score under which texts are rejected:
 that which all but `reject_share` of its rightly named texts and snippets
-exceed, never over `reject_most`.
+exceed, never over `reject_most`. That score is one over the number of
+languages at least, whatever the text; so texts are also rejected by the share
+of their grams that fitting has met: under `reject_known` times what all but
+`reject_share` of the same texts have.
 
 A text that is null or has no letter is `und` with score 0, and rejected.
 Rows with a null id or lang are predicted, not learned from (a null id counts
@@ -58,26 +61,31 @@ def grams(data: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """scores: a row of one score a language for each bucket, and a last one of zeros."""
+    """scores: a row of one score a language for each bucket, then 1 if fitting has met it, and a last row of zeros."""
 
     langs: list[str]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    known_below: float = 0.0
     buckets: int = field(default=0)
 
-    def logits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """One row for each of the texts data[at[i]:at[i+1]]."""
-        out = np.zeros((len(at) - 1, len(self.langs)))
+    def means(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The mean row of scores of each of the texts data[at[i]:at[i+1]]."""
+        out = np.zeros((len(at) - 1, self.scores.shape[1]))
         for a, b in pieces(at):
-            total, n = np.zeros((b - a, len(self.langs))), np.zeros(b - a, np.int64)
+            total, n = np.zeros((b - a, self.scores.shape[1])), np.zeros(b - a, np.int64)
             # a very long text goes in parts, each with the three bytes that its last grams reach into
             for s in range(int(at[a]), max(int(at[b]), int(at[a]) + 1), LONG_PART) if b == a + 1 else [int(at[a])]:
                 stop = min(s + LONG_PART, int(at[b])) if b == a + 1 else int(at[b])
                 self._add(data[s : min(stop + 3, int(at[b]))], stop - s, np.array([0, stop - s]) if b == a + 1 else at[a : b + 1] - s, stop == at[b], total, n)
             out[a:b] = total / np.maximum(n, 1)[:, None]
-        return out + self.bias
+        return out
+
+    def logits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """One row for each of the texts data[at[i]:at[i+1]]."""
+        return self.means(data, at)[:, : len(self.langs)] + self.bias
 
     def _add(self, part: np.ndarray, size: int, local: np.ndarray, ends: bool, total: np.ndarray, n: np.ndarray) -> None:
         """Adds the scores and the number of the grams that begin in the texts part[local[i]:local[i+1]]."""
@@ -94,16 +102,21 @@ class Model:
             return
         starts = local[:-1][full]
         n[full] += np.add.reduceat((h3 < self.buckets).astype(np.int32) + (h4 < self.buckets), starts)
-        for j in range(len(self.langs)):
+        for j in range(self.scores.shape[1]):
             column = self.scores[:, j]
             total[full, j] += np.add.reduceat(column[h3] + column[h4], starts, dtype=np.float64)
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = self.logits(data, at) / self.temperature
+        return self.judge(data, at)[:2]
+
+    def judge(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score and share of known grams of each text."""
+        means = self.means(data, at)
+        z = (means[:, : len(self.langs)] + self.bias) / self.temperature
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        return p.argmax(axis=1), p.max(axis=1)
+        return p.argmax(axis=1), p.max(axis=1), means[:, len(self.langs)]
 
 
 def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -127,7 +140,7 @@ def _snippets(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7, reject_share: float = 0.001, reject_most: float = 0.4) -> Model | None:
+def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7, reject_share: float = 0.001, reject_most: float = 0.4, reject_known: float = 0.9) -> Model | None:
     """Fits (text, lang) rows, in the order given; None without rows."""
     langs = sorted({lang for _, lang in rows})
     if not langs:
@@ -156,8 +169,10 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, ep
             # rows are rare in a text, so their steps aren't scaled down by its length but by its root
             vectors[idx] -= now * len(idx) ** 0.5 * np.outer(share, back)
             step += 1
-    scores = np.zeros((buckets + 1, len(langs)), np.float32)
-    scores[:buckets] = vectors @ weights
+    scores = np.zeros((buckets + 1, len(langs) + 1), np.float32)
+    scores[:buckets, :-1] = vectors @ weights
+    for idx, _, _ in bags:
+        scores[idx, -1] = 1
     model = Model(langs, scores, bias, buckets=buckets)
     if held:
         texts = [t.encode() for t, _ in held]
@@ -169,9 +184,10 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, ep
             return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
         model.temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
-        named, score = model.predict(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        named, score, known = model.judge(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
         if (named == y).any():
             model.reject_below = float(min(reject_most, np.quantile(score[named == y], reject_share)))
+            model.known_below = float(reject_known * np.quantile(known[named == y], reject_share))
     return model
 
 
@@ -213,12 +229,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         m: Model = shared.value
         names = np.array([*m.langs, UNDETERMINED], object)
         for batch in batches:
-            named, score = m.predict(*utf8(batch.column(low)))
+            named, score, known = m.judge(*utf8(batch.column(low)))
             letters = batch.column("__lettered").to_numpy(zero_copy_only=False)
             named, score = np.where(letters, named, len(m.langs)), np.where(letters, score, 0.0)
             cols = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in (low, "__lettered")]
             fields = [batch.schema.field(i) for i, n in enumerate(batch.schema.names) if n not in (low, "__lettered")]
-            more = [pa.array(names[named].tolist(), pa.string()), pa.array(score), pa.array((score < m.reject_below) | ~letters)]
+            more = [pa.array(names[named].tolist(), pa.string()), pa.array(score), pa.array((score < m.reject_below) | (known < m.known_below) | ~letters)]
             yield pa.RecordBatch.from_arrays([*cols, *more], schema=pa.schema([*fields, ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
 
     return kept.withColumns({low: F.lower(F.coalesce(F.col("text"), F.lit(""))), "__lettered": lettered}).mapInArrow(run, T.StructType([*kept.schema.fields, *FIELDS]))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ def test_a_text_does_not_depend_on_its_neighbours(spark):
         langid.LONG_PART = part
 
 
+def test_gibberish_and_languages_that_were_not_learned_are_rejected(spark):
+    rnd = random.Random(5)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").filter("length(text) > 100")
+    model = langid.fit(docs.filter("lang in ('de', 'fr')"))
+    junk = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(200)) for _ in range(200)]
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string"), model)
+    assert got.filter("rejected").count() == 200
+    share = {r.lang: r.share for r in langid.identify(docs.select("doc_id", "text", "lang"), model).groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+    assert share["de"] <= 0.01 and share["fr"] <= 0.01 and share["en"] >= 0.9 and share["es"] >= 0.9
+
+
 def test_stage_leaves_columns_of_the_results_names(spark):
     rows = [(i, "the and of with that" if i % 2 else "der die und nicht ein", "en" if i % 2 else "de", f"own{i}", i, i % 3 == 0) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, Score long, rejected boolean")
