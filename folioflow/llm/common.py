@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder that all executors share: spark.checkpoint.dir, or one of our own in local mode; raises where a cluster names none."""
     set_already = spark.conf.get("spark.checkpoint.dir", None)
     if set_already:
         return set_already
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -36,6 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever file system the path names; nothing happens if it isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def split_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row a key, as an aggregate gives) on keys that have no nulls, so that hot keys can be split.
+
+    The aggregate's own partitions are by the keys, and a join that reuses them
+    can't be split; with a hash of the keys as one more key it is dealt anew.
+    """
+    mark = "__split"
+    out = rows.withColumn(mark, F.xxhash64(*keys)).join(groups.withColumn(mark, F.xxhash64(*keys)), [*keys, mark], how)
+    return out.drop(mark)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(k1, k2, text) of each row, text null as empty.
 

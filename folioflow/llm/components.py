@@ -20,12 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.cut(edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = both.groupBy("lo").agg(F.min("hi").alias("m")).select(F.col("lo").alias("node"), F.least("lo", "m").alias("m"))
-        large = both.join(least, F.col("lo") == F.col("node")).filter("hi > node").select(F.col("m").alias("lo"), "hi").distinct()
+        least = both.groupBy("lo").agg(F.min("hi").alias("m")).select("lo", F.least("lo", "m").alias("m"))
+        large = common.split_join(both, least, ["lo"]).filter("hi > lo").select(F.col("m").alias("lo"), "hi").distinct()
         # small star: a node's smaller neighbours, and the node, to the least of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(low.withColumnRenamed("hi", "node"), F.col("hi") == F.col("node"))
-        small = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).filter("lo <> hi").unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct()
+        small = common.split_join(large, low, ["hi"]).select(F.col("m").alias("lo"), F.col("lo").alias("hi")).filter("lo <> hi").unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct()
         new = common.cut(small)
         # settled once no node is both a root and a leaf, and each leaf has one root
         roots = new.select(F.col("lo").alias("node")).distinct()

@@ -7,18 +7,19 @@ would copy everything everywhere. So the first regions come from landmarks
 that every link shares, and pivots divide the regions:
 
 1. Sets that are equal are one point; copies never meet each other.
-2. A point's shingle hashes are cut into parts of the hash space, more parts
-   than shingles can differ between linked sets of that size, so linked points
-   agree in a whole part that isn't empty; small sets agree in a run of hashes.
-   Points that agree are neighbours, but for pairs that do so by chance: where
-   at most four points agree, those whose counts over ranges of the hash space
-   (`profile`) differ by more than linked sets can are none. Regions are the
-   components of that relation.
+2. A point's shingle hashes are cut into parts of the hash space, about as many
+   as shingles can differ between linked sets of that size; linked points agree
+   in a whole part of a fixed number of them, with odds under 1e-15 that they
+   don't (`Parts`); small sets agree in a run of hashes. Texts that share but a
+   passage agree too; so in each group that agrees, only points are neighbours
+   whose counts over ranges of the hash space (`profile`) differ by no more than
+   linked sets can. Regions are the components of that relation.
 3. A region is joined exactly (`region_links`): pivots create Voronoi cells, a
    point is copied to each cell whose pivot is at most 2 tau farther than its
-   own, cells are joined recursively, and small cells, or those that pivots
-   don't divide, by counting intersections. Regions over `region_points`
-   points are joined in blocks, each pair of blocks a task of its own.
+   own, and cells are joined recursively; in cells that pivots don't divide, the
+   triangle inequality decides pairs by their distances to the pivots, and the
+   rest are counted. Regions over `region_points` points are joined in blocks,
+   each pair of blocks a task of its own.
 
 A link joins two points; components of links give the result. Texts without
 words have the empty set and are linked with nothing. A null text is an empty
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,8 +47,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: Below this many shingles, parts would hold too few of them to tell texts apart.
-SMALL = 200
+#: Below this many shingles, a part would hold too few of them to tell texts apart.
+SMALL = 96
+#: Odds that a link has no landmark, at most (natural logarithm of 1e-15).
+MISS = math.log(1e-15)
 STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -85,10 +88,17 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarra
 
 
 class Parts:
-    """The schemes of parts for a threshold of num/den.
+    """The landmarks of linked sets for a threshold of num/den.
 
     Scheme b is for pairs whose smaller set has size lows[b] to lows[b+1]-1. A
     set differs from a linked one that isn't smaller in at most n(1-t)/t places.
+    Small sets have runs of neighbours in hash order, one of which a link must
+    share. Larger ones cut the hash space into about as many parts as a link may
+    differ in; a part is shared if no difference falls into it, as happens to a
+    third of them. So a fixed number of the parts (`takes`), whatever the size of
+    the set, leaves odds under 1e-15 that a link shares none: hashes fall into
+    parts at random, and numbers of balls in bins are negatively associated, so
+    the odds of the single parts may be multiplied.
     """
 
     def __init__(self, num: int, den: int):
@@ -101,7 +111,7 @@ class Parts:
         self.lows = np.array(lows)
         both = list(zip(self.lows[:-1].tolist(), (self.lows[1:] - 1).tolist(), strict=True))
         self.runs = np.array([self._run(lo, hi) if hi < SMALL else 0 for lo, hi in both])
-        self.parts, self.salts = np.array([self._scheme(lo, hi) if hi >= SMALL else (0, 0) for lo, hi in both]).T
+        self.parts, self.takes = np.array([self._scheme(lo, hi) if hi >= SMALL else (0, 0) for lo, hi in both]).T
 
     def _run(self, low: int, high: int) -> int:
         """In hash order, linked sets have so many neighbours in common at least: their differences divide what they share."""
@@ -116,41 +126,33 @@ class Parts:
         return least
 
     def _scheme(self, low: int, high: int) -> tuple[int, int]:
-        """Number of parts, and of ways to cut: for all of them to leave a set as few filled parts as a link may differ in has odds under 1e-15."""
-        most = int(self.differences(np.array(high)))
-        if most == 0:
+        """Number of parts, and how many of them are taken, over as many ways to cut as that needs."""
+        parts = int(self.differences(np.array(high)))
+        if parts == 0:
             return 0, 0
-        sizes = np.unique(np.linspace(low, high, 48).astype(np.int64))
-        best = (most + 3, 9)
-        for salts in range(1, 7):
-            for k in range(40):
-                m = most + 3 + k * max(1, most // 64)
-                if m * salts >= best[0] * best[1]:
-                    break
-                odds = -math.inf
-                for n in sizes.tolist():
-                    d = int(self.differences(np.array(n)))
-                    if d:  # all n hashes within some d of the m parts
-                        odds = max(odds, math.lgamma(m + 1) - math.lgamma(d + 1) - math.lgamma(m - d + 1) + n * math.log(d / m))
-                if salts * odds < math.log(1e-15):
-                    best = (m, salts)
-                    break
-        return best
+        takes = 0
+        for n in np.unique(np.linspace(low, high, 48).astype(np.int64)).tolist():
+            out = math.log1p(-1 / parts) if parts > 1 else -math.inf
+            differ, shared = int(self.differences(np.array(n))), -(-self.num * n // self.den)
+            useful = (math.exp(differ * out) if differ else 1.0) * -math.expm1(shared * out)
+            if not useful:
+                raise ValueError("thresholds this high need larger sets")
+            takes = max(takes, math.ceil(MISS / math.log1p(-min(useful, 1 - 1e-12))))
+        return parts, takes
 
     def differences(self, n: np.ndarray) -> np.ndarray:
         return n * (self.den - self.num) // self.num
 
-    def signatures(self, sets: list[np.ndarray], empty: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(signature, which set) of all parts that aren't empty, and for each set whether its parts may be too few."""
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(signature, which set) of the runs, and of the parts taken that aren't empty."""
         n = np.array([len(s) for s in sets])
-        few = np.zeros(len(sets), bool)
         all_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        own_all = np.repeat(np.arange(len(sets)), n)
         grown = mix(all_ * np.uint64(0x9FB21C651E98DF25))
         begin = np.cumsum(n) - n
         sig, which = [], []
         level = np.searchsorted(self.lows, n, side="right") - 1
         before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grown)])
-        filled = np.zeros(len(sets), bool)
         for down in (0, 1):
             b = level - down
             use = (n > 0) & (b >= 0)
@@ -164,70 +166,94 @@ class Parts:
                 at = np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 sig.append(mix(before[at + self.runs[b[own]]] - before[at] + mix(b[own].astype(np.uint64) << np.uint64(40))))
                 which.append(own)
-            use &= self.parts[b] > 0
-            if not down:
-                few = use.copy()
-            for salt in range(self.salts[b[use]].max(initial=0)):
-                rows = np.flatnonzero(use & (self.salts[b] > salt))
-                size = n[rows]
-                own = np.repeat(rows, size)
-                take = np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                place = all_[take] if salt == 0 else mix(all_[take] + STEP[salt % 8])
-                m = np.repeat(self.parts[b[rows]], size).astype(np.uint64)
+            parts, left = self.parts[b], np.where(use & (self.parts[b] > 0), self.takes[b], 0)
+            salt = 0
+            while (left > 0).any():
+                take = np.minimum(left, parts)
+                m = parts[own_all].astype(np.uint64)
+                place = all_ if salt == 0 else mix(all_ + np.uint64(int(STEP[salt % 8]) * salt % (1 << 64)))
                 part = (place >> np.uint64(32)) * m >> np.uint64(32)
-                weight = grown[take]
-                if salt:
+                held = np.flatnonzero(part < take[own_all].astype(np.uint64))
+                own, part, weight = own_all[held], part[held], grown[held]
+                if salt:  # hashes are sorted, and so are their parts, but for other ways to cut
                     order = np.lexsort((part, own))
                     own, part, weight = own[order], part[order], weight[order]
-                new = np.ones(len(own), bool)
-                new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
-                cut = np.flatnonzero(new)
-                scheme = b[own[cut]].astype(np.uint64) << np.uint64(40) | np.uint64(salt << 36)
-                sig.append(mix(np.add.reduceat(weight, cut) + mix(scheme | part[cut] + np.uint64(1))))
-                which.append(own[cut])
-                if down == 0:
-                    filled |= np.bincount(own[cut], minlength=len(sets)) > self.differences(n)
-                if empty:
-                    for i in rows:
-                        free = np.setdiff1d(np.arange(self.parts[b[i]]), part[own == i].astype(np.int64)).astype(np.uint64)
-                        sig.append(mix(mix((np.uint64(int(b[i]) << 40 | salt << 36)) | free + np.uint64(1))))
-                        which.append(np.full(len(free), i))
-        few &= ~filled
+                if len(own):
+                    new = np.ones(len(own), bool)
+                    new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+                    cut = np.flatnonzero(new)
+                    scheme = b[own[cut]].astype(np.uint64) << np.uint64(48) | np.uint64(salt << 36)
+                    sig.append(mix(np.add.reduceat(weight, cut) + mix(scheme | part[cut] + np.uint64(1))))
+                    which.append(own[cut])
+                left = left - take
+                salt += 1
         if not sig:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), few
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         sig, which = np.concatenate(sig), np.concatenate(which)
         order = np.argsort(which, kind="stable")
-        return sig[order], which[order], few
+        return sig[order], which[order]
 
 
 def profile(hashes: np.ndarray) -> bytes:
-    """Counts of a set's hashes in 64 or more equal ranges, one for about four hashes; a byte each, 255 for more.
+    """Counts of a set's hashes in 64 to 4096 equal ranges, one for about six hashes; a byte each, 255 for more.
 
     The profiles of two sets differ by no more, summed over the ranges, than the
     sets do; that holds too where neighbouring ranges are added up.
     """
-    bits = max(6, (len(hashes) // 4).bit_length())
+    bits = min(12, max(6, (len(hashes) // 8).bit_length()))
     return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def may_link(n: int, m: int, left: bytes, right: bytes, num: int, den: int) -> bool:
-    """Whether sets of n and m hashes with these profiles aren't too far apart for a link."""
-    shared = -(-num * (n + m) // (num + den))
-    if shared > min(n, m):
-        return False
-    a, b = np.frombuffer(left, np.uint8).astype(np.int32), np.frombuffer(right, np.uint8).astype(np.int32)
-    ranges = min(len(a), len(b))
-    a, b = a.reshape(ranges, -1).sum(axis=1), b.reshape(ranges, -1).sum(axis=1)
-    return int(np.abs(a - b).sum()) <= n + m - 2 * shared
-
+def near_points(n: np.ndarray, profiles: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect the sets which may be linked by their sizes n and profiles, as one would by testing all pairs.
 
-def keep_near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    Each point is a pivot for those not reached yet, which it draws in if they
+    aren't too far apart; a dense group takes one round, not one for each pair.
+    """
+    ranges = min(map(len, profiles))
+    table = np.vstack([np.frombuffer(p, np.uint8).reshape(ranges, -1).sum(axis=1, dtype=np.int32) for p in profiles])
+    edges, rest = [], np.arange(len(n))
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            total = n[i] + n[rest]
+            shared = -(-num * total // (num + den))
+            close = np.abs(table[rest] - table[i]).sum(axis=1) <= total - 2 * shared
+            close &= shared <= np.minimum(n[i], n[rest])
+            drawn = rest[close].tolist()
+            edges += [(i, j) for j in drawn]
+            queue += drawn
+            rest = rest[~close]
+    return edges
+
+
+def connect(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of each group of points with one signature; its rows (sig, point, n, profile) come one after the other."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        points, n, profiles = zip(*rows, strict=True)
+        return [(points[i], points[j]) for i, j in near_points(np.array(n), list(profiles), num, den)]
+
+    def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    key, rows, out = None, [], []
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("n", "m", "left", "right")), strict=True)
-        yield batch.select(["a", "b"]).filter(pa.array([may_link(*r, num, den) for r in rows], pa.bool_()))
-
-
-def describe(batches: Iterator[pa.RecordBatch], words: int, parts: Parts, empty: bool) -> Iterator[pa.RecordBatch]:
+        for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "point", "n", "profile")), strict=True):
+            if sig != key:
+                out += solve(rows) if rows else []
+                key, rows = sig, []
+                if len(out) > 1 << 16:
+                    yield batch_of(out)
+                    out = []
+            rows.append(row)
+    out += solve(rows) if rows else []
+    if out:
+        yield batch_of(out)
+
+
+def describe(batches: Iterator[pa.RecordBatch], words: int, parts: Parts) -> Iterator[pa.RecordBatch]:
     """A row a document: size and hash of its set, and signatures where the task hasn't met the set before."""
     seen: set[int] = set()
     for batch in batches:
@@ -241,16 +267,14 @@ def describe(batches: Iterator[pa.RecordBatch], words: int, parts: Parts, empty:
                 if n[i] and p not in seen:
                     seen.add(p)
                     fresh.append(i)
-            sig, which, few = parts.signatures([sets[i] for i in fresh], empty)
+            sig, which = parts.signatures([sets[i] for i in fresh])
             counts = np.zeros(b - a, np.int64)
             counts[fresh] = np.bincount(which, minlength=len(fresh)) if len(fresh) else 0
-            odd = np.zeros(b - a, bool)
-            odd[fresh] = few
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(sig.view(np.int64)))
             new = set(fresh)
             profiles = pa.array([profile(s) if i in new else None for i, s in enumerate(sets)], pa.binary())
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n.astype(np.int64)), pa.array(point), lists, pa.array(odd), profiles], names=["k1", "k2", "n", "point", "sigs", "odd", "profile"])
+            yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n.astype(np.int64)), pa.array(point), lists, profiles], names=["k1", "k2", "n", "point", "sigs", "profile"])
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -307,38 +331,73 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-#: Up to so many points with an equal part, each pair is looked at.
-FEW = 4
-LEAF = 192
+#: Cells of up to so many points are joined by counting alone.
+LEAF = 2
+#: A cell has as many pivots as the root of its points, and at most so many.
+PIVOTS = 8
 BLOCK = 512
+#: Distances are told from one another, and from tau, beyond this; closer ones are counted.
+NEAR = 1e-9
+
 
+def region_links(sets: list[np.ndarray], num: int, den: int, tally: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of linked sets, each from both its ends, in arrays (home point, other).
 
-def region_links(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of linked sets, each from both its ends, in arrays (home point, other)."""
+    Pivots divide a cell of over `LEAF` points; where their windows would copy
+    most of it into every cell, it stays whole, and distances to the pivots
+    decide what they can: two points that differ by more than tau in their
+    distance to a pivot aren't linked, two whose distances add up to at most tau
+    are. What is left is counted. tally: gets the numbers of pivot rounds,
+    divisions, and pairs decided by pivots and by counting.
+    """
     size = np.array([len(s) for s in sets])
     tau = 1 - num / den
+    tally = {} if tally is None else tally
+
+    def note(what: str, more: int) -> None:
+        tally[what] = tally.get(what, 0) + int(more)
 
     def linked(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         common_ = intersections([sets[i] for i in rows], [sets[i] for i in cols])
-        union = size[rows][:, None] + size[cols][None, :] - common_
-        return (den * common_ >= num * union) & (rows[:, None] != cols[None, :])
+        return den * common_ >= num * (size[rows][:, None] + size[cols][None, :] - common_)
+
+    def decide(mine: np.ndarray, theirs: np.ndarray, far: dict[int, np.ndarray]) -> np.ndarray:
+        if not far:
+            note("counted", len(mine) * len(theirs))
+            return linked(mine, theirs)
+        x, y = np.array([far[i] for i in mine.tolist()]), np.array([far[i] for i in theirs.tolist()])
+        apart, near = np.zeros((len(mine), len(theirs)), bool), np.zeros((len(mine), len(theirs)), bool)
+        for p in range(x.shape[1]):
+            apart |= np.abs(x[:, p][:, None] - y[:, p][None, :]) > tau + NEAR
+            near |= x[:, p][:, None] + y[:, p][None, :] < tau - NEAR
+        open_ = ~(apart | near)
+        note("by pivots", open_.size - open_.sum())
+        rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        if len(rows):
+            note("counted", len(rows) * len(cols))
+            near[np.ix_(rows, cols)] = linked(mine[rows], theirs[cols])
+        return near
 
     def join(home: np.ndarray, all_: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # home: points whose links are wanted; all_: these and the copies from beyond the cell's edge
+        far: dict[int, np.ndarray] = {}
         if len(all_) > LEAF and depth < 12:
+            note("pivot rounds", 1)
             rng = np.random.default_rng(depth)
-            pivots = np.sort(rng.choice(home, min(len(home), 8), replace=False))
+            pivots = np.sort(rng.choice(home, min(math.isqrt(len(home)), PIVOTS), replace=False))
             common_ = np.vstack([intersections([sets[i] for i in all_[a : a + 128]], [sets[i] for i in pivots]) for a in range(0, len(all_), 128)])
             d = 1 - common_ / (size[all_][:, None] + size[pivots][None, :] - common_)
             own, nearest = d.argmin(axis=1), d.min(axis=1)
-            window = d <= nearest[:, None] + 2 * tau + 1e-9
+            window = d <= nearest[:, None] + 2 * tau + NEAR
             is_home = np.isin(all_, home)
             if window.sum(axis=0).max() <= 0.7 * len(all_):
+                note("divisions", 1)
                 for p in range(len(pivots)):
                     cell = is_home & (own == p)
                     if cell.any():
                         yield from join(all_[cell], all_[window[:, p]], depth + 1)
                 return
+            far = dict(zip(all_.tolist(), d, strict=True))
         # in order of size, which may differ by the threshold's factor at most
         home, all_ = home[np.argsort(size[home], kind="stable")], all_[np.argsort(size[all_], kind="stable")]
         for a in range(0, len(home), BLOCK):
@@ -347,7 +406,7 @@ def region_links(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[n
             hi = np.searchsorted(size[all_], size[mine[-1]] * den // num, side="right")
             for b in range(lo, hi, BLOCK):
                 theirs = all_[b : min(hi, b + BLOCK)]
-                x, y = np.nonzero(linked(mine, theirs))
+                x, y = np.nonzero(decide(mine, theirs, far) & (mine[:, None] != theirs[None, :]))
                 if len(x):
                     yield mine[x], theirs[y]
 
@@ -425,26 +484,34 @@ def dealt(member: DataFrame, num: int, den: int, region_points: int) -> DataFram
     return whole.unionByName(pairs.select(whole.columns))
 
 
-def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, region_points: int = 4096) -> DataFrame:
+def neighbours(met: DataFrame, known: DataFrame, num: int, den: int, group_points: int) -> DataFrame:
+    """Edges (a, b) that connect linked points: met(sig, point), known(point, n, profile).
+
+    Signatures of the same points count once. Up to `group_points` points, a
+    group is connected by profiles in one task; a larger one is a star around its
+    least point, as many near copies are, and left to the region join.
+    """
+    groups = met.groupBy("sig").agg(F.count("*").alias("g"), F.min("point").alias("least"), F.bit_xor(F.xxhash64("point")).alias("all"))
+    groups = common.cut(groups.groupBy("g", "least", "all").agg(F.min("sig").alias("sig")))
+    star = common.split_join(met, groups.filter(F.col("g") > group_points).select("sig", "least"), ["sig"])
+    stars = star.filter("point <> least").select(F.col("least").alias("a"), F.col("point").alias("b")).distinct()
+    held = common.split_join(met, groups.filter(F.col("g") <= group_points).select("sig"), ["sig"]).join(known, "point")
+    rows = held.select("sig", "point", "n", "profile").repartition("sig").sortWithinPartitions("sig")
+    return rows.mapInArrow(lambda it: connect(it, num, den), "a long, b long").unionByName(stars)
+
+
+def link(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, region_points: int = 4096, group_points: int = 2048) -> DataFrame:
     """(k1, k2, n, component, root) for each row of docs, as common.keyed(): set size, the component's smallest id and its root point (null without words); links: other documents directly linked."""
     parts = Parts(num, den)
-    told = "k1 long, k2 long, n long, point long, sigs array<long>, odd boolean, profile binary"
-    base = common.cut(docs.mapInArrow(lambda it: describe(it, words, parts, False), told))
-    if not base.filter("odd").isEmpty():  # a set whose shingles fall into too few parts: let empty parts count as well
-        base = common.cut(docs.mapInArrow(lambda it: describe(it, words, parts, True), told))
+    told = "k1 long, k2 long, n long, point long, sigs array<long>, profile binary"
+    base = common.cut(docs.mapInArrow(lambda it: describe(it, words, parts), told))
     slim = base.select("k1", "k2", "n", "point")
     signs = base.filter("size(sigs) > 0").select("point", F.explode("sigs").alias("sig"))
-    group = Window.partitionBy("sig")
     # copies of a set that different tasks have met are one point; their number doesn't matter
-    met = signs.withColumns({"least": F.min("point").over(group), "most": F.max("point").over(group), "rows": F.count("*").over(group)}).filter("least <> most")
-    met = common.cut(met.select("sig", "point", "least", "rows").distinct())
-    stars = met.filter((F.col("rows") > FEW) & (F.col("point") != F.col("least"))).select(F.col("least").alias("a"), F.col("point").alias("b")).distinct()
-    # where few agree, it is often by chance: all pairs of these few, if their profiles aren't too far apart
-    few = met.filter(F.col("rows") <= FEW).select("sig", "point")
-    pairs = few.withColumnRenamed("point", "a").join(few.withColumnRenamed("point", "b"), "sig").filter("a < b").select("a", "b").distinct()
-    known = base.filter("profile is not null").select("point", "n", "profile").join(few.select("point").distinct(), "point").groupBy("point").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
-    left, right = known.toDF("a", "n", "left"), known.toDF("b", "m", "right")
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right").mapInArrow(lambda it: keep_near(it, num, den), "a long, b long").unionByName(stars)
+    shared = signs.groupBy("sig").agg(F.min("point").alias("least"), F.max("point").alias("most")).filter("least <> most").select("sig")
+    met = common.cut(common.split_join(signs, shared, ["sig"]).distinct())
+    known = base.filter("profile is not null").select("point", "n", "profile").join(met.select("point").distinct(), "point").groupBy("point").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
+    near = neighbours(met, known, num, den, group_points)
     region = components(near)  # (node, root)
     holder = slim.join(region.select(F.col("node").alias("point")), "point").groupBy("point").agg(F.min(F.struct("k1", "k2", "n")).alias("h"), F.count("*").alias("copies"))
     member = common.cut(region.join(holder, F.col("node") == F.col("point")).select("root", "point", "copies", "h.k1", "h.k2", "h.n"))

@@ -80,8 +80,8 @@ def test_a_large_group_of_near_copies_is_divided_by_pivots():
         for _ in range(rng.integers(0, 14)):
             s[rng.integers(len(s))] = rng.integers(0, 1 << 60)
         sets.append(np.unique(s))
-    got = set()
-    for home, other in setjoin.region_links(sets, 85, 100):
+    got, tally = set(), {}
+    for home, other in setjoin.region_links(sets, 85, 100, tally):
         pairs = list(zip(home.tolist(), other.tolist(), strict=True))
         assert not got & set(pairs)
         got |= set(pairs)
@@ -92,16 +92,45 @@ def test_a_large_group_of_near_copies_is_divided_by_pivots():
             if i != j and 100 * k >= 85 * (len(x) + len(y) - k):
                 want.add((i, j))
     assert got == want
-
-
-def test_sets_that_crowd_into_few_parts_are_seen():
-    parts = setjoin.Parts(85, 100)
-    parts.salts = np.minimum(parts.salts, 1)
-    crowded = np.arange(300, dtype=np.uint64)
-    _, _, few = parts.signatures([crowded], False)
-    assert few.tolist() == [True]
-    sig, which, _ = parts.signatures([crowded, np.append(crowded[:299], np.uint64(777))], True)
-    assert set(sig[which == 0]) & set(sig[which == 1])
+    assert tally["divisions"] > 0 and tally["by pivots"] > 0
+
+
+@pytest.mark.parametrize("num", [80, 85, 95])
+def test_linked_sets_share_a_landmark(num):
+    rng = np.random.default_rng(num)
+    parts = setjoin.Parts(num, 100)
+    for n in [1, 2, 5, 20, 61, 62, 95, 96, 97, 130, 177, 301, 700, 5000]:
+        for _ in range(20):  # as far apart as a link may be: others added, others in place, others left out
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            d = int(parts.differences(np.array(n)))
+            swap = n - -(-2 * num * n // (100 + num))
+            for y in (np.append(x, rng.integers(0, 1 << 63, d).astype(np.uint64)), np.append(x[swap:], rng.integers(0, 1 << 63, swap).astype(np.uint64))):
+                y = np.unique(y)
+                shared = len(np.intersect1d(x, y))
+                if 100 * shared < num * (len(x) + len(y) - shared) or len(x) == len(y) == shared:
+                    continue
+                sig, which = parts.signatures([x, y])
+                assert set(sig[which == 0].tolist()) & set(sig[which == 1].tolist()), (n, len(y))
+    sig, _ = parts.signatures([np.unique(rng.integers(0, 1 << 63, 100_000).astype(np.uint64))])
+    assert len(sig) <= 2 * 100  # whatever the size of a set
+
+
+def test_pivots_run_on_the_regions_of_the_given_tables(spark):
+    docs = common.table(spark, "/root/testdata/sf0.1", "documents")
+    found = setjoin.link(common.keyed(docs), 4, 85, 100).select("k1", "root")
+    groups = found.join(found.groupBy("root").count().filter("count > 2"), "root").select("root", F.col("k1").alias("doc_id"))
+    texts = groups.join(docs, "doc_id").select("root", "text").collect()
+    rounds, decided = 0, 0
+    for root in sorted({r.root for r in texts}):
+        flat = [t.encode() for t in sorted({r.text for r in texts if r.root == root})]
+        sets = setjoin.shingle_sets(np.frombuffer(b"".join(flat), np.uint8), np.cumsum([0, *map(len, flat)]), 4)
+        tally = {}
+        got = sum(len(home) for home, _ in setjoin.region_links(sets, 85, 100, tally))
+        both = [(len(np.intersect1d(x, y)), len(x) + len(y)) for i, x in enumerate(sets) for y in sets[:i]]
+        assert got == 2 * sum(100 * k >= 85 * (n - k) for k, n in both)
+        rounds += tally.get("pivot rounds", 0)
+        decided += tally.get("by pivots", 0)
+    assert rounds > 0 and decided > 0
 
 
 def test_empty_and_stage(spark):
@@ -125,6 +154,37 @@ def test_stage_keeps_one_row_of_each_component_whatever_its_ids(spark):
     assert got == sorted([(-1, "a", 0), (-1, "b", 0), (-1, "c", 0), (9, "d", 0), (3, "e", 0), (3, "f", 0), (-1, "g", 1), (6, "h", 1), (-1, "", 0), (-1, "", 0)])
 
 
+def test_groups_are_connected_as_by_all_pairs():
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)) for n in (30, 200, 230, 900)]
+    passage = base[1][:60]
+    sets = []
+    for i in range(160):
+        s = base[i % 4].copy()
+        s[rng.permutation(len(s))[: rng.integers(0, len(s) // 4)]] = rng.integers(0, 1 << 63)
+        sets.append(np.unique(np.append(s, passage)))
+    n, profiles = np.array([len(s) for s in sets]), [setjoin.profile(s) for s in sets]
+    top = list(range(len(sets)))
+    find = lambda i: i if top[i] == i else find(top[i])
+    for i, j in setjoin.near_points(n, profiles, 85, 100):
+        top[find(i)] = find(j)
+    linked = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            k = len(np.intersect1d(x, y))
+            if 100 * k >= 85 * (len(x) + len(y) - k):
+                linked += 1
+                assert find(i) == find(j)
+    assert linked and len({find(i) for i in range(len(sets))}) > 1
+
+
+def test_groups_over_the_limit_lose_no_link(spark):
+    rows = corpus(9, 200)
+    docs = common.keyed(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    got = setjoin.link(docs, 4, 85, 100, group_points=2).select("k1", "n", "component", "links").collect()
+    assert sorted(map(tuple, got)) == brute(rows, 4, 85, 100)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
