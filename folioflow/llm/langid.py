@@ -8,13 +8,15 @@ linear, prediction adds one learned row of scores a gram, over the whole text.
 
 The model is fitted on the driver on a bounded sample of labelled rows: at
 most `per_lang` rows a language and `max_rows` in all, texts of at most
-`max_bytes`, the first ones by a hash of the id. A fifth of the sample sets
-the temperature of the scores and the score under which texts are rejected:
-that which all but `reject_share` of its rightly named texts and snippets
-exceed, never over `reject_most`. That score is one over the number of
-languages at least, whatever the text; so texts are also rejected by the share
-of their grams that fitting has met: under `reject_known` times what all but
-`reject_share` of the same texts have.
+`max_bytes`, the first ones by a hash of the id. A fifth of the sample is held
+back; it sets the temperature of the scores and two thresholds under which
+texts are rejected, one of the score and one of the share of a text's grams
+that fitting has met (a score is one over the number of languages at least,
+whatever the text). What other languages look like is learned from models that
+are fitted without one of the languages: a threshold lies halfway between the
+median of the texts and snippets of the languages left out and what all but
+`reject_share` of the held-back ones that are named rightly exceed, and never
+over the latter; texts may have `unmet_times` as many unknown grams as these.
 
 A text that is null or has no letter is `und` with score 0, and rejected.
 Rows with a null id or lang are predicted, not learned from (a null id counts
@@ -43,28 +45,33 @@ LONG_PART = 4 << 20  # bytes
 WORDY = np.array([b if b >= 128 or 97 <= b <= 122 else SPACE for b in range(256)], np.uint32)
 
 
-def grams(data: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the 3- and 4-gram from each byte on; `buckets` where a word's edge lies inside, or past the end."""
+#: Slots that tell whether fitting has met a gram; the first bits of a slot are the bucket.
+SLOTS = 1 << 20
+
+
+def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slot of the 3- and 4-gram from each byte on; SLOTS where a word's edge lies inside, or past the end."""
     n = len(data)
     b = np.full(n + 3, SPACE, np.uint32)
     b[:n] = WORDY[data]
     three = b[:n] | b[1 : n + 1] << np.uint32(8) | b[2 : n + 2] << np.uint32(16)
     four = three | b[3 : n + 3] << np.uint32(24)
-    shift = np.uint32(32 - int(buckets).bit_length() + 1)
+    shift = np.uint32(32 - SLOTS.bit_length() + 1)
     one = (b[1 : n + 1] == SPACE)
     h3 = ((three * np.uint32(2654435761)) >> shift).astype(np.int32)
     h4 = (((four ^ (four >> np.uint32(15))) * np.uint32(2246822519)) >> shift).astype(np.int32)
-    h3[one] = buckets
-    h4[one | (b[2 : n + 2] == SPACE)] = buckets
+    h3[one] = SLOTS
+    h4[one | (b[2 : n + 2] == SPACE)] = SLOTS
     return h3, h4
 
 
 @dataclass
 class Model:
-    """scores: a row of one score a language for each bucket, then 1 if fitting has met it, and a last row of zeros."""
+    """scores: a row of one score a language for each bucket, and a last row of zeros; met: 1 for each slot that fitting has met."""
 
     langs: list[str]
     scores: np.ndarray
+    met: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
@@ -72,10 +79,11 @@ class Model:
     buckets: int = field(default=0)
 
     def means(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The mean row of scores of each of the texts data[at[i]:at[i+1]]."""
-        out = np.zeros((len(at) - 1, self.scores.shape[1]))
+        """The mean row of scores of each of the texts data[at[i]:at[i+1]], and the share of its grams that fitting has met."""
+        width = len(self.langs) + 1
+        out = np.zeros((len(at) - 1, width))
         for a, b in pieces(at):
-            total, n = np.zeros((b - a, self.scores.shape[1])), np.zeros(b - a, np.int64)
+            total, n = np.zeros((b - a, width)), np.zeros(b - a, np.int64)
             # a very long text goes in parts, each with the three bytes that its last grams reach into
             for s in range(int(at[a]), max(int(at[b]), int(at[a]) + 1), LONG_PART) if b == a + 1 else [int(at[a])]:
                 stop = min(s + LONG_PART, int(at[b])) if b == a + 1 else int(at[b])
@@ -89,22 +97,25 @@ class Model:
 
     def _add(self, part: np.ndarray, size: int, local: np.ndarray, ends: bool, total: np.ndarray, n: np.ndarray) -> None:
         """Adds the scores and the number of the grams that begin in the texts part[local[i]:local[i+1]]."""
-        h3, h4 = (h[:size] for h in grams(part, self.buckets))
+        h3, h4 = (h[:size] for h in grams(part))
         if ends:  # no gram may reach into the next text
             for k in (1, 2, 3):
                 edge = local[1:] - k
                 edge = edge[edge >= local[:-1]]
                 if k < 3:
-                    h3[edge] = self.buckets
-                h4[edge] = self.buckets
+                    h3[edge] = SLOTS
+                h4[edge] = SLOTS
         full = np.flatnonzero(np.diff(local) > 0)
         if not len(full):
             return
         starts = local[:-1][full]
-        n[full] += np.add.reduceat((h3 < self.buckets).astype(np.int32) + (h4 < self.buckets), starts)
-        for j in range(self.scores.shape[1]):
+        n[full] += np.add.reduceat((h3 < SLOTS).astype(np.int32) + (h4 < SLOTS), starts)
+        total[full, -1] += np.add.reduceat(self.met[h3] + self.met[h4], starts, dtype=np.int64)
+        shift = (SLOTS // self.buckets).bit_length() - 1
+        b3, b4 = h3 >> shift, h4 >> shift
+        for j in range(len(self.langs)):
             column = self.scores[:, j]
-            total[full, j] += np.add.reduceat(column[h3] + column[h4], starts, dtype=np.float64)
+            total[full, j] += np.add.reduceat(column[b3] + column[b4], starts, dtype=np.float64)
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.judge(data, at)[:2]
@@ -119,13 +130,14 @@ class Model:
         return p.argmax(axis=1), p.max(axis=1), means[:, len(self.langs)]
 
 
-def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets and their shares, and the slots, of each text."""
     out = []
     for t in texts:
-        h3, h4 = grams(np.frombuffer(t.encode(), np.uint8), buckets)
-        h = np.concatenate([h3, h4])
-        idx, count = np.unique(h[h < buckets], return_counts=True)
-        out.append((idx, count / max(1, count.sum())))
+        h = np.concatenate(grams(np.frombuffer(t.encode(), np.uint8)))
+        slots, count = np.unique(h[h < SLOTS], return_counts=True)
+        own, at = np.unique(slots // (SLOTS // buckets), return_inverse=True)
+        out.append((own, np.bincount(at, count, len(own)) / max(1, count.sum()), slots))
     return out
 
 
@@ -140,23 +152,15 @@ def _snippets(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7, reject_share: float = 0.001, reject_most: float = 0.4, reject_known: float = 0.9) -> Model | None:
-    """Fits (text, lang) rows, in the order given; None without rows."""
-    langs = sorted({lang for _, lang in rows})
-    if not langs:
-        return None
+def _fit(bags: list[tuple], langs: list[str], buckets: int, dim: int, epochs: int, rate: float, seed: int) -> Model:
+    """Embeddings and softmax for bags (buckets, shares, slots, language) by stochastic gradient descent."""
     rng = np.random.default_rng(seed)
-    fit, held = [], []
-    for i, (text, lang) in enumerate(rows):
-        low = text.lower()
-        (held if i % 5 == 4 else fit).extend((t, langs.index(lang)) for t in [low, *_snippets(low, rng)])
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     weights, bias = np.zeros((dim, len(langs))), np.zeros(len(langs))
-    bags = [(*bag, y) for bag, (_, y) in zip(_bags([t for t, _ in fit], buckets), fit, strict=True) if len(bag[0])]
     total, step = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(bags)):
-            idx, share, y = bags[k]
+            idx, share, _, y = bags[k]
             now = rate * (1 - step / total)
             hidden = share @ vectors[idx]
             z = hidden @ weights + bias
@@ -169,25 +173,62 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, ep
             # rows are rare in a text, so their steps aren't scaled down by its length but by its root
             vectors[idx] -= now * len(idx) ** 0.5 * np.outer(share, back)
             step += 1
-    scores = np.zeros((buckets + 1, len(langs) + 1), np.float32)
-    scores[:buckets, :-1] = vectors @ weights
-    for idx, _, _ in bags:
-        scores[idx, -1] = 1
-    model = Model(langs, scores, bias, buckets=buckets)
-    if held:
-        texts = [t.encode() for t, _ in held]
-        z = model.logits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-        y = np.array([y for _, y in held])
-
-        def loss(t: float) -> float:
-            s = z / t - (z / t).max(axis=1, keepdims=True)
-            return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
-
-        model.temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
-        named, score, known = model.judge(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-        if (named == y).any():
-            model.reject_below = float(min(reject_most, np.quantile(score[named == y], reject_share)))
-            model.known_below = float(reject_known * np.quantile(known[named == y], reject_share))
+    scores, met = np.zeros((buckets + 1, len(langs)), np.float32), np.zeros(SLOTS + 1, np.uint8)
+    scores[:buckets] = vectors @ weights
+    for _, _, slots, _ in bags:
+        met[slots] = 1
+    return Model(langs, scores, met, bias, buckets=buckets)
+
+
+def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def _temper(model: Model, texts: list[str], y: np.ndarray) -> None:
+    """Sets the temperature under which the texts' languages y are likeliest."""
+    z = model.logits(*_laid(texts))
+
+    def loss(t: float) -> float:
+        s = z / t - (z / t).max(axis=1, keepdims=True)
+        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
+
+    model.temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
+
+
+def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7, reject_share: float = 0.001, unmet_times: float = 4.0, left_out: int = 4, left_out_epochs: int = 2) -> Model | None:
+    """Fits (text, lang) rows, in the order given; None without rows. left_out: languages that a model is fitted without, at most, to calibrate rejection."""
+    langs = sorted({lang for _, lang in rows})
+    if not langs:
+        return None
+    rng = np.random.default_rng(seed)
+    fit, held = [], []
+    for i, (text, lang) in enumerate(rows):
+        low = text.lower()
+        (held if i % 5 == 4 else fit).extend((t, langs.index(lang)) for t in [low, *_snippets(low, rng)])
+    bags = [(*bag, y) for bag, (_, y) in zip(_bags([t for t, _ in fit], buckets), fit, strict=True) if len(bag[0])]
+    model = _fit(bags, langs, buckets, dim, epochs, rate, seed)
+    if not held:
+        return model
+    texts, y = [t for t, _ in held], np.array([y for _, y in held])
+    _temper(model, texts, y)
+    named, score, known = model.judge(*_laid(texts))
+    if not (named == y).any():
+        return model
+    model.reject_below, model.known_below = (float(np.quantile(x[named == y], reject_share)) for x in (score, known))
+    outside: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in sorted(rng.permutation(len(langs))[:left_out].tolist()) if len(langs) > 1 else []:
+        others = [lang for i, lang in enumerate(langs) if i != k]
+        other = _fit([(*bag, i - (i > k)) for *bag, i in bags if i != k], others, buckets, dim, left_out_epochs, rate, seed)
+        inside = [(t, i - (i > k)) for t, i in held if i != k]
+        if inside and (out := [t for t, i in held if i == k]):
+            _temper(other, [t for t, _ in inside], np.array([i for _, i in inside]))
+            outside.append(other.judge(*_laid(out))[1:])
+    if outside:
+        score, known = (np.concatenate(x) for x in zip(*outside, strict=True))
+        model.reject_below = min(model.reject_below, (model.reject_below + float(np.median(score))) / 2)
+        model.known_below = min(model.known_below, (model.known_below + float(np.median(known))) / 2)
+    model.known_below = max(0.0, 1 - unmet_times * (1 - model.known_below))
     return model
 
 

@@ -1,6 +1,9 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folioflow.llm import langid
@@ -62,6 +65,58 @@ def test_gibberish_and_languages_that_were_not_learned_are_rejected(spark):
     assert share["de"] <= 0.01 and share["fr"] <= 0.01 and share["en"] >= 0.9 and share["es"] >= 0.9
 
 
+def test_texts_of_other_scripts_and_tongues_are_rejected(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = langid.fit(docs)
+    other = [
+        "Это обычный русский текст о погоде и о людях, которые живут в городе",
+        "これは日本語の普通の文章です。天気と人々について書いています",
+        "Tämä on tavallinen suomalainen teksti säästä ja ihmisistä kaupungissa",
+        "To jest zwykły polski tekst o pogodzie i ludziach, którzy mieszkają w mieście",
+        "xkcd qwrtz plmk vbnm zxcv jklh",
+    ]
+    got = langid.identify(spark.createDataFrame(list(enumerate(other)), "doc_id long, text string"), model)
+    assert got.filter("rejected").count() == len(other)
+    assert 1 / len(model.langs) < model.reject_below < 1
+
+
+def plain(model, text):
+    """Language, score and share of met grams by loops over one text's words."""
+    total, n, met = [0.0] * len(model.langs), 0, 0
+    raw = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode())
+    for word in re.finditer(rb"[^ ]+", raw):
+        stretch = word.group() + b" "  # a word's end is part of its last grams
+        for size, most in ((3, 2654435761), (4, 2246822519)):
+            for i in range(-1, len(stretch) - size + 1):
+                if i < 0 and (word.start() == 0 or raw[word.start() - 1] != 32):
+                    continue
+                gram = (b" " + stretch)[i + 1 : i + 1 + size]
+                if len(gram) < size or b" " in gram[1 : size - 1]:
+                    continue
+                if i + size > len(word.group()) and word.end() == len(raw):
+                    continue  # the text ends with the word
+                x = int.from_bytes(gram, "little")
+                x ^= x >> 15 if size == 4 else 0
+                slot = (x * most & 0xFFFFFFFF) >> 12
+                n, met = n + 1, met + int(model.met[slot])
+                row = model.scores[slot >> 5]
+                total = [t + float(v) for t, v in zip(total, row, strict=True)]
+    z = [(t / max(n, 1) + float(b)) / model.temperature for t, b in zip(total, model.bias, strict=True)]
+    p = [math.exp(v - max(z)) for v in z]
+    return p.index(max(p)), max(p) / sum(p), met / max(n, 1)
+
+
+def test_equals_a_plain_prediction(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.filter("length(text) < 900").orderBy("doc_id").limit(60).collect()] + ["", "a", "ab", "abc", " abc", "abcd é", "x yz", "the  and"]
+    flat = [t.lower().encode() for t in texts]
+    got = model.judge(np.frombuffer(b"".join(flat), np.uint8), np.cumsum([0, *map(len, flat)]))
+    for text, lang, score, known in zip(texts, *got, strict=True):
+        want = plain(model, text)
+        assert (lang, round(score, 5), round(known, 9)) == (want[0], round(want[1], 5), round(want[2], 9)), text
+
+
 def test_stage_leaves_columns_of_the_results_names(spark):
     rows = [(i, "the and of with that" if i % 2 else "der die und nicht ein", "en" if i % 2 else "de", f"own{i}", i, i % 3 == 0) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, Score long, rejected boolean")
