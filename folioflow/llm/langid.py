@@ -196,7 +196,7 @@ def _temper(model: Model, texts: list[str], y: np.ndarray) -> None:
     model.temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7, reject_share: float = 0.001, unmet_times: float = 4.0, left_out: int = 4, left_out_epochs: int = 2) -> Model | None:
+def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7, reject_share: float = 0.001, unmet_times: float = 2.0, left_out: int = 4, left_out_epochs: int = 2) -> Model | None:
     """Fits (text, lang) rows, in the order given; None without rows. left_out: languages that a model is fitted without, at most, to calibrate rejection."""
     langs = sorted({lang for _, lang in rows})
     if not langs:
