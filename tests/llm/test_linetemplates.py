@@ -65,6 +65,12 @@ def test_stage_drops_boilerplate_that_is_the_longest_line(spark):
     assert staged(spark, texts) == {i: own(c) for i, c in enumerate("abcdef")}
 
 
+def test_a_licence_that_is_the_longest_line_of_short_texts_goes(spark):
+    licence = " ".join(f"clause{c} of the long licence" for c in "abcdefghijkl")
+    got = cleaned(spark, [f"short {c}\n{licence}" for c in "abcdefghijklmnopqrst"])
+    assert sorted(got.values()) == [(f"short {c}", 1) for c in "abcdefghijklmnopqrst"]
+
+
 def test_stage_drops_boilerplate_beside_a_large_group_of_copies(spark):
     story = lambda c: f"the one long story that is told by every copy with word{c} in it"
     words = [a + b + c for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]
