@@ -3,11 +3,17 @@
 A page is split into blocks at the tags that break lines. Each block carries
 its length, the share of its words that are stop words, the share of its
 characters inside links, and what its ancestors say (an article, a menu, an
-advert, ...). The first pass decides the blocks whose evidence is clear; the
-second lets the undecided, mostly short ones inherit the label of the nearest
-decided neighbour, of the following one where both are as near. The page's
-edges count as boilerplate, those of an article as text: what an article
-leaves undecided is text. Three list items of links in a row are a menu.
+advert, ...). The first pass decides the blocks whose evidence is clear: stop
+words and length make text, links without stop words make a menu, and so do
+three list items of links in a row. The second lets the undecided, mostly short
+ones inherit the label of the nearest decided neighbour, of the following one
+where both are as near. The page's edges count as boilerplate.
+
+An article or main element bounds the text if it holds at least half as much of
+it as is found outside by the block rules; else the rules decide the whole page.
+Inside it, the edges count as text, text wins between neighbours as near, and
+names drop whole containers of adverts, notices, sharing and comments alone. A
+form is boilerplate unless it holds the article, or all text there is.
 
 A null html is an empty one, whose text is ''; so is that of a page of
 boilerplate alone. Broken markup is read as far as it goes: unknown end tags
@@ -51,7 +57,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-BOILER_TAGS = frozenset("nav header footer aside form menu dialog button fieldset canvas audio video head".split())
+BOILER_TAGS = frozenset("nav header footer aside menu dialog button canvas audio video head".split())
+FORM_TAGS = frozenset("form fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar note status".split())
 BOILER_NAMES = frozenset(
     """
@@ -61,10 +68,19 @@ BOILER_NAMES = frozenset(
     sidebar sidebars side aside widget widgets rail menu menus nav navbar navigation breadcrumb breadcrumbs tabs
     header masthead topbar footer foot bottombar copyright legal
     share sharing social related recommended recommendations popular trending more
-    comment comments commentlist disqus reply replies respond discussion feedback
+    comment comments commentlist disqus reply replies respond feedback
     search form pagination pager paging toolbar skip hidden noprint tags
     """.split()
 )
+#: Inside an article, names drop a container only if nothing but these and words for parts of a page is in them.
+INSIDE_NAMES = frozenset(
+    """
+    ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion
+    cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup
+    share sharing social comment comments commentlist disqus reply replies respond sidebar
+    """.split()
+)
+PART_NAMES = frozenset("area banner bar block box btn button buttons container content form group inner item items label left links list outer panel right section slot thread unit widget wrap wrapper".split())
 #: Names of containers that stand for the article where a page has no article or main element.
 TEXT_NAMES = frozenset(
     "article article-body article-content articlebody content main main-content maincontent page-content post post-body post-content entry entry-content story story-body text-content body-text".split()
@@ -87,15 +103,18 @@ class Block:
     heading: bool
     article: bool  # inside an article or main element, or one named like these where there is none
     boiler: bool  # inside an element that says so
+    form: bool = False  # inside a form that doesn't hold the article
     item: bool = False  # in a list or table
     label: bool | None = None
 
 
-def _says_boiler(tag: str, attributes: str) -> bool:
+def _says_boiler(tag: str, attributes: str, inside: bool = False) -> bool:
+    """inside: in an article."""
     if tag in BOILER_TAGS:
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
+    named = tag not in HEADINGS
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -104,9 +123,13 @@ def _says_boiler(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id"):
+        if name in ("class", "id") and named:
             for word in value.split():
                 parts = [p.lower() for p in NAME_PART.findall(word)]
+                if inside:
+                    if INSIDE_NAMES & set(parts) and all(p in INSIDE_NAMES or p in PART_NAMES or p.isdigit() for p in parts):
+                        return True
+                    continue
                 # "has-sidebar" and the like name what stands inside
                 if parts and parts[0] not in ("has", "with", "no", "without", "is") and BOILER_NAMES & set(parts) and not {"article", "content", "main", "story", "post"} & set(parts[-1:]):
                     return True
@@ -129,7 +152,7 @@ def _says_text(tag: str, attributes: str) -> int:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, how much of an article
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, how much of an article, in a form
     open_: Counter = Counter()
     piece: list[str] = []
     linked = anchors = 0
@@ -143,10 +166,10 @@ def blocks(page: str) -> list[Block]:
             if text:
                 words = text.split(" ")
                 stops = sum(w.strip(".,;:!?\"'()[]«»“”¿¡").lower() in STOP_WORDS for w in words)
-                _, boiler, article = stack[-1] if stack else ("", False, 0)
+                _, boiler, article, form = stack[-1] if stack else ("", False, 0, False)
                 if boiler and heading and in_article_header:
                     boiler = False
-                out.append(Block(text, len(words), stops / len(words), min(1.0, linked / len(text)), heading, article, boiler, bool(stack) and stack[-1][0] in ("li", "dd", "dt", "td", "th")))
+                out.append(Block(text, len(words), stops / len(words), min(1.0, linked / len(text)), heading, article, boiler, form, bool(stack) and stack[-1][0] in ("li", "dd", "dt", "td", "th")))
         linked, heading = 0, False
 
     def pop_to(tag: str) -> None:
@@ -185,7 +208,7 @@ def blocks(page: str) -> list[Block]:
                     flush()
                 if open_[tag]:
                     pop_to(tag)
-                    in_article_header = any(t == "header" and a for t, _, a in stack) if tag == "header" else in_article_header
+                    in_article_header = any(t == "header" and a for t, _, a, _ in stack) if tag == "header" else in_article_header
             elif open_[tag]:
                 pop_inline(stack, open_, tag)
             continue
@@ -203,10 +226,10 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             if tag == "br":
                 piece.append(" ")
-            elif tag not in VOID and attributes and _says_boiler(tag, attributes):
+            elif tag not in VOID and attributes and _says_boiler(tag, attributes, bool(stack and stack[-1][2])):
                 flush()
-                article = stack[-1][2] if stack else 0
-                stack.append((tag, True, article))
+                _, _, article, form = stack[-1] if stack else ("", False, 0, False)
+                stack.append((tag, True, article, form))
                 open_[tag] += 1
             continue
         flush()
@@ -216,20 +239,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in ENDS:
             ends, stops_at = ENDS[tag]
-            for t, _, _ in reversed(stack):
+            for t, *_ in reversed(stack):
                 if t in stops_at:
                     break
                 if t in ends:
                     pop_to(t)
                     break
-        _, boiler, article = stack[-1] if stack else ("", False, 0)
-        own = _says_boiler(tag, attributes)
         if tag == "body" and open_["head"]:
             pop_to("head")
-            _, boiler, article = stack[-1] if stack else ("", False, 0)
+        _, boiler, article, form = stack[-1] if stack else ("", False, 0, False)
+        own, says = _says_boiler(tag, attributes, article > 0), _says_text(tag, attributes)
         if tag == "header" and article and not boiler:
             in_article_header = True
-        stack.append((tag, boiler or own, max(article, _says_text(tag, attributes))))
+        stack.append((tag, boiler or own, max(article, says), says < 2 and (form or tag in FORM_TAGS)))
         open_[tag] += 1
         heading = tag in HEADINGS
     flush()
@@ -252,62 +274,83 @@ SHORT, LONG = 70, 200  # characters
 STOP_LOW, STOP_HIGH, LINKS_MOST = 0.15, 0.28, 0.4
 
 
-def first_pass(b: Block, has_article: bool) -> bool | None:
-    """True for text, False for boilerplate, None for what its neighbours must decide."""
-    if b.boiler or has_article and not b.article:
-        return False
+def dense(b: Block) -> bool | None:
+    """What length, stop words and links say: True for text, False for boilerplate, None where they don't."""
     if b.links > LINKS_MOST:
-        # in an article, a link may be a sentence; a list of them is a menu (see main_text)
-        return None if b.article else False
-    if b.text.startswith(("©", "(c)", "(C)", "Copyright ")) and len(b.text) < LONG and not b.article:
-        return False
+        return None if b.stop > 0 and b.article else False  # in an article, a link may be a sentence
     if len(b.text) < SHORT or b.heading:
         return None
-    if b.stop >= STOP_HIGH:
+    if b.stop >= STOP_HIGH or b.stop >= STOP_LOW and len(b.text) >= LONG:
         return True
-    if b.stop >= STOP_LOW:
-        return True if len(b.text) >= LONG else None
-    return None if b.article or len(b.text) < LONG else False
+    return None if b.stop >= STOP_LOW or b.article or len(b.text) < LONG else False
+
+
+def first_pass(found: list[Block]) -> None:
+    """Labels the blocks whose evidence is clear; an article that isn't believed is forgotten."""
+    boxed = lambda b: b.boiler or b.form
+    if not any(b.article and not boxed(b) for b in found) and not any(dense(b) and not boxed(b) for b in found):
+        for b in found:  # all there is stands in forms
+            b.form = False
+    inside = sum(len(b.text) for b in found if b.article and not boxed(b) and len(b.text) >= SHORT and b.links <= LINKS_MOST)
+    outside = sum(len(b.text) for b in found if not b.article and not boxed(b) and dense(b))
+    bounded = any(b.article and not boxed(b) for b in found) and 2 * inside >= outside
+    run: list[Block] = []
+    for b in [*found, None]:
+        if b is not None:
+            b.article = bounded and b.article
+            if boxed(b) or bounded and not b.article:
+                b.label = False
+            elif b.text.startswith(("©", "(c)", "(C)", "Copyright ")) and len(b.text) < LONG and not b.article:
+                b.label = False
+            else:
+                b.label = dense(b)
+        if b is not None and b.item and b.links > 0.9:
+            run.append(b)
+            continue
+        # a list of links is a menu, one of sentences in links is not
+        if len(run) >= 3 and not sum(x.stop > 0 for x in run) * 2 > len(run):
+            for x in run:
+                x.label = False
+        run = []
 
 
 def second_pass(found: list[Block]) -> list[bool]:
-    """The labels, with the undecided ones inherited."""
+    """The labels, with the undecided ones inherited from the nearest decided neighbour."""
     n = len(found)
-    before: list[tuple[int, bool]] = []
-    last = (-1, False)
+
+    def nearest(order: range) -> list[tuple[int, bool]]:
+        # inside an article, what its tags drop is passed over, and its edge is text
+        out, edge = [(0, False)] * n, order[0] - order.step if n else 0
+        last = within = (edge, False)
+        before = False
+        for i in order:
+            b = found[i]
+            if b.article != before:
+                within, before = (i - order.step, True), b.article
+            out[i] = within if b.article else last
+            if b.label is not None:
+                last = (i, b.label)
+                if b.article and not b.boiler and not b.form:
+                    within = last
+        return out
+
+    left, right = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    out = []
     for i, b in enumerate(found):
         if b.label is not None:
-            last = (i, b.label)
-        before.append(last)
-    out = [False] * n
-    nxt = (n, False)
-    for i in range(n - 1, -1, -1):
-        b = found[i]
-        if b.label is not None:
-            out[i] = b.label
-            nxt = (i, b.label)
+            out.append(b.label)
             continue
-        (p, left), (q, right) = before[i], nxt
-        inside = b.article and not b.boiler
-        # in an article, what is left undecided is text; elsewhere the nearer neighbour speaks, or the following one
-        out[i] = inside or (right if q - i <= i - p else left)
+        (p, before), (q, after) = left[i], right[i]
+        if b.article and q - i == i - p:
+            out.append(before or after)
+        else:
+            out.append(after if q - i <= i - p else before)
     return out
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    has_article = any(b.article and not b.boiler for b in found)
-    for b in found:
-        b.label = first_pass(b, has_article)
-    run: list[Block] = []
-    for b in [*found, None]:
-        if b is not None and b.item and b.links > 0.9:
-            run.append(b)
-        else:
-            if len(run) >= 3:
-                for x in run:
-                    x.label = False
-            run = []
+    first_pass(found)
     return "\n\n".join(b.text for b, good in zip(found, second_pass(found), strict=True) if good)
 
 

@@ -55,6 +55,47 @@ def test_links_and_named_containers():
     assert main_text("<div role=main><p>One.</p></div><p>Two.</p>") == "One."
 
 
+def test_the_five_pages_that_names_and_tags_misread():
+    clean = " ".join(LONG.split())
+    assert main_text(f"<article><p>{LONG}</p><section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section></article>") == f"{clean}\n\nDiscussion\n\n{clean}"
+    assert main_text(f"<article><p>{LONG}</p><p class='related-work'>{LONG}</p></article>") == f"{clean}\n\n{clean}"
+    assert main_text(f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p></article>") == f"Title\n\n{clean}"
+    assert main_text(f"<body><form action=x><nav><a href=y>Home</a></nav><article><h1>Title</h1><p>{LONG}</p></article></form></body>") == f"Title\n\n{clean}"
+    assert main_text(f"<body><form><p>{LONG}</p><p>{LONG}</p></form></body>") == f"{clean}\n\n{clean}"
+    assert main_text(f"<body><main><p>teaser</p></main><div><p>{LONG * 2}</p><p>{LONG * 2}</p></div></body>").endswith("\n\n".join([" ".join((LONG * 2).split())] * 2))
+
+
+def test_each_evidence_counts(monkeypatch):
+    menu = "<p><a href=a>Home</a> <a href=b>News</a></p>"
+    page = f"<article><p>{LONG}</p>{menu}<p><a href=x>Read all of it here.</a></p><p>{LONG}</p></article>"
+    bare = f"<body><div>{menu}</div><h2>Head</h2><p>{LONG * 2}</p><p>Tiny.</p><p>{LONG * 2}</p><div>{menu}<p>Imprint</p></div></body>"
+    clean, double = " ".join(LONG.split()), " ".join((LONG * 2).split())
+    assert main_text(page) == f"{clean}\n\nRead all of it here.\n\n{clean}"
+    assert main_text(bare) == f"Head\n\n{double}\n\nTiny.\n\n{double}"
+    labelled = f"<article><p>{LONG}</p><p>Also read</p><p><a href=a>One</a></p><p><a href=b>Two</a></p><p>{LONG}</p></article>"
+    assert main_text(labelled) == f"{clean}\n\nAlso read\n\n{clean}"
+    monkeypatch.setattr(pagetext, "STOP_WORDS", frozenset())
+    assert main_text(page) == f"{clean}\n\n{clean}" and main_text(bare) == ""
+    monkeypatch.undo()
+    monkeypatch.setattr(pagetext, "LINKS_MOST", 2.0)
+    assert "Home News" in main_text(page)
+    monkeypatch.undo()
+    monkeypatch.setattr(pagetext, "SHORT", 10**6)
+    assert main_text(bare) == ""
+
+
+def test_names_inside_an_article():
+    clean = " ".join(LONG.split())
+    drop = ["ad", "ad-box", "comments-section", "shareButtons", "cookie_notice", "newsletter-signup"]
+    keep = ["article-comments-policy", "social-history", "trending-up", "search-results", "widget-theory"]
+    for name in drop:
+        assert main_text(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></article>") == clean, name
+    for name in keep:
+        assert main_text(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></article>") == f"{clean}\n\n{clean}", name
+    refs = "".join(f"<li><a href={i}>The history of the town and of its people, part {i}</a></li>" for i in range(4))
+    assert main_text(f"<article><p>{LONG}</p><ul>{refs}</ul></article>").count("history") == 4
+
+
 def test_broken_and_empty_pages():
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""
     assert main_text(f"<article><p>{LONG}<b>x<p>1 < 2 & 3 &am") == " ".join(LONG.split()) + " x\n\n1 < 2 & 3 &am"
