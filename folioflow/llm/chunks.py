@@ -9,9 +9,8 @@ digest, by (doc_id, text hash, position), stays; later ones go.
 Counts by digest are combined before the shuffle, and the join back to the
 chunks splits at hot digests, so no task holds all rows of one.
 
-Null texts count as empty; empty texts have no chunk. Two rows with the same
-id and text are copies of each other: the chunks of both count as later ones
-only where the first row by order isn't theirs, so such twins keep theirs.
+Null texts count as empty; empty texts have no chunk. Of rows that repeat id
+and text, one counts as the first and the others as its copies, which lose all.
 An empty table gives no rows.
 """
 
@@ -22,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -109,9 +108,9 @@ def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = utf8(batch.column("text"))
         shared, removed, chunks, kept = [], [], [], []
-        for i, ranges in enumerate(batch.column("ranges").to_pylist()):
+        for i, (ranges, again) in enumerate(zip(batch.column("ranges").to_pylist(), batch.column("again").to_pylist(), strict=True)):
             body = data[at[i] : at[i + 1]]
-            gone = [r for r in ranges or () if not r["first"]]
+            gone = [r for r in ranges or () if again or not r["first"]]
             shared.append(sum(r["stop"] - r["start"] for r in ranges or ()))
             removed.append(sum(r["stop"] - r["start"] for r in gone))
             chunks.append(len(gone))
@@ -134,15 +133,21 @@ def dedup_chunks(docs: DataFrame, least: int = 32, most: int = 256, bits: int =
 
     # half a digest is enough to drop the chunks that occur once; the rest is held against the whole digest
     often = chunked(True).groupBy("d1").agg(F.count("*").alias("n")).filter("n > 1").select("d1")
-    some = common.cut(chunked(False).join(often, "d1", "left_semi"))
+    some = common.cut(common.split_join(chunked(False), often, ["d1"], "left_semi"))
     place = F.struct("k1", "k2", "start")
     first = some.groupBy("d1", "d2").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
     ranges = (
-        some.join(first, ["d1", "d2"])
+        common.split_join(some, first, ["d1", "d2"])
         .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("start", "stop", (place == F.col("keeper")).alias("first"))).alias("ranges"))
     )
-    return keys.join(ranges, ["k1", "k2"], "left").select(common.doc_id(), "text", "ranges").mapInArrow(rebuild, RESULT)
+    full = keys.join(ranges, ["k1", "k2"], "left").withColumn("again", F.lit(False))
+    twins = common.cut(keys.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if not twins.isEmpty():  # rows that are alike in all that counts: any of them may be the first
+        place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+        alike = full.join(twins, ["k1", "k2"], "left_semi").withColumn("again", place > 1)
+        full = full.join(twins, ["k1", "k2"], "left_anti").unionByName(alike)
+    return full.select(common.doc_id(), "text", "ranges", "again").mapInArrow(rebuild, RESULT)
 
 
 def op5_cdc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

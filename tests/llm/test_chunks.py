@@ -72,5 +72,5 @@ def test_equals_brute_force(spark):
 def test_nulls_twins_and_empty(spark):
     rows = [(None, "x" * 90, ""), (3, "y" * 90 + "Z", ""), (3, "y" * 90 + "Z", ""), (4, None, None)]
     got = chunks.dedup_chunks(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (3, 0), (3, 0), (4, 0)]
+    assert sorted((r.doc_id or 0, r.n_removed, r.kept_text) for r in got) == [(0, 0, "x" * 90), (3, 0, "y" * 90 + "Z"), (3, 91, ""), (4, 0, "")]
     assert chunks.dedup_chunks(spark.createDataFrame([], SCHEMA)).count() == 0
