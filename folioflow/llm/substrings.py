@@ -19,6 +19,10 @@ Pointer Refinement, cut at depth `length` and dealt over the cluster:
    longer grams, up to `length` itself, where a bucket is one string and a
    count settles it.
 
+What is removed is at least `length` bytes. Shorter passages that stand elsewhere
+too, of `near` bytes at least (some forty words), are told but not removed: they
+are sought first, and strings of `length` bytes then only inside of them.
+
 Null texts count as empty. Rows may repeat: two rows with one id and text are
 two documents, so each repeats the other. An empty table gives no rows.
 Hashes have 64 bits; equal hashes count as equal strings.
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -196,13 +200,26 @@ def _sliced(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "whole", "many", "payload"])
 
 
-def repeated_starts(docs: DataFrame, length: int = 400, q: int = 128, bucket_bytes: int = 1 << 20) -> DataFrame:
-    """(k1, k2, start, stop): ranges of starts whose strings of `length` bytes stand elsewhere too. docs as common.keyed()."""
+def inner(batches: Iterator[pa.RecordBatch], more: int) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, ranges): of ranges of starts, those whose strings may be `more` bytes longer."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    for batch in batches:
+        out = []
+        for k1, k2, ranges in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "ranges")), strict=True):
+            start, stop = merged(np.array([r["start"] for r in ranges], np.int64), np.array([r["stop"] for r in ranges], np.int64))
+            if left := [{"start": int(s), "stop": int(e) - more} for s, e in zip(start, stop, strict=True) if e - more > s]:
+                out.append((k1, k2, left))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), kind), strict=True)], names=["k1", "k2", "ranges"])
+
+
+def repeated_starts(docs: DataFrame, length: int = 400, q: int = 128, bucket_bytes: int = 1 << 20, within: DataFrame | None = None) -> DataFrame:
+    """(k1, k2, start, stop): ranges of starts whose strings of `length` bytes stand elsewhere too. docs as common.keyed(); within: (k1, k2, ranges) outside of which no such start can be."""
     long_enough = docs.filter(F.octet_length("text") >= length)
     # the reach in which a least gram is sought shrinks to a quarter each time, and at last to the string itself
     levels = sorted({length - (length - min(q, length)) // part for part in (1, 4, 16)} | {length})
     found: list[DataFrame] = []
-    source = long_enough
+    source = long_enough if within is None else long_enough.join(within, ["k1", "k2"])
     for level in levels:
         rows = source.mapInArrow(lambda it, level=level: cut_texts(it, level, length), SEGMENT)
         buckets = (
@@ -211,7 +228,7 @@ def repeated_starts(docs: DataFrame, length: int = 400, q: int = 128, bucket_byt
             .filter("n > 1 or loops")
             .select("bucket", F.when(F.lit(level == length) | (F.col("n") > 1) & (F.col("low") == F.col("high")), "same").when(F.col("size") > bucket_bytes, "large").otherwise("mixed").alias("state"))
         )
-        marked = common.cut(rows.drop("again").join(buckets, "bucket"))
+        marked = common.cut(common.split_join(rows.drop("again"), buckets, ["bucket"]))
         found.append(marked.filter("state = 'same'").select("k1", "k2", "start", "stop"))
         mixed, large = marked.filter("state = 'mixed'"), marked.filter("state = 'large'")
         more = level < length and not large.isEmpty()
@@ -242,14 +259,14 @@ def repeated_starts(docs: DataFrame, length: int = 400, q: int = 128, bucket_byt
     return out
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, spans array<struct<start:long,stop:long>>"
 
 
 def apply_spans(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = utf8(batch.column("text"))
-        ids = batch.column("doc_id")
-        removed, spans, digests, texts, runs = [], [], [], [], []
+        ids, near = batch.column("doc_id"), batch.column("near").to_pylist()
+        removed, spans, digests, texts, runs, repeated = [], [], [], [], [], []
         for i, ranges in enumerate(batch.column("ranges").to_pylist()):
             body = data[at[i] : at[i + 1]]
             if ranges:
@@ -263,25 +280,30 @@ def apply_spans(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[
                 removed.append(0)
                 runs.append([])
             spans.append(len(runs[-1]))
+            start, stop = merged(*(np.array([r[k] for r in near[i]], np.int64) for k in ("start", "stop"))) if near[i] else (np.zeros(0, np.int64),) * 2
+            repeated.append(int((stop - start).sum()))
             digests.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept if keep_text else b"")
-        cols = [ids, pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+        cols = [ids, pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(repeated, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "spans"]
         if keep_text:
             cols.append(pa.array(texts, pa.binary()))
             names.append("kept")
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, q: int = 128, bucket_bytes: int = 1 << 20, keep_text: bool = True) -> DataFrame:
-    """Per row of docs(doc_id, text): sizes, the removed spans in bytes, a digest of what is left and, on demand, what is left itself (bytes)."""
-    keys = common.keyed(docs)
-    ranges = (
-        repeated_starts(keys, length, q, bucket_bytes)
-        .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct(F.col("start"), (F.col("stop") - 1 + length).alias("stop"))).alias("ranges"))
-    )
-    full = keys.join(ranges, ["k1", "k2"], "left").select(common.doc_id(), "text", "ranges")
+def remove_repeats(docs: DataFrame, length: int = 400, q: int = 128, bucket_bytes: int = 1 << 20, keep_text: bool = True, near: int = 256) -> DataFrame:
+    """Per row of docs(doc_id, text): sizes, the removed spans in bytes, a digest of what is left, n_repeated (bytes of passages of `near` bytes that stand elsewhere too) and, on demand, what is left itself (bytes)."""
+    keys, near = common.keyed(docs), min(near, length)
+
+    def ranges(starts: DataFrame, stop: Column, name: str) -> DataFrame:
+        return starts.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", stop.alias("stop"))).alias(name))
+
+    first = common.cut(ranges(repeated_starts(keys, near, min(q, near // 2), bucket_bytes), F.col("stop"), "ranges"))
+    within = first.mapInArrow(lambda it: inner(it, length - near), "k1 long, k2 long, ranges array<struct<start:int,stop:int>>")
+    gone = ranges(repeated_starts(keys, length, q, bucket_bytes, within), F.col("stop") - 1 + length, "ranges")
+    told = first.select("k1", "k2", F.transform("ranges", lambda r: F.struct(r["start"].alias("start"), (r["stop"] - 1 + near).alias("stop"))).alias("near"))
+    full = keys.join(told, ["k1", "k2"], "left").join(gone, ["k1", "k2"], "left").select(common.doc_id(), "text", "ranges", "near")
     return full.mapInArrow(lambda it: apply_spans(it, keep_text), RESULT + (", kept binary" if keep_text else ""))
 
 

@@ -50,8 +50,9 @@ def corpus(seed, n=120):
 def test_equals_brute_force(spark, seed, bucket_bytes):
     texts = corpus(seed)
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts)]
-    got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), length=40, q=13, bucket_bytes=bucket_bytes).collect()
+    got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), length=40, q=13, bucket_bytes=bucket_bytes, near=25).collect()
     want = brute([(t or "").encode() for t in texts], 40)
+    assert {r.doc_id: r.n_repeated for r in got} == {i: x[1] for i, x in enumerate(brute([(t or "").encode() for t in texts], 25))}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
     for r in got:
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.spans) == r.n_spans
