@@ -18,6 +18,10 @@ LABEL = r"(?iuU)^(?:Figure|Fig\.?|Table)\s*[:#.]?\s*[A-Z0-9]+(?:[.\-][A-Z0-9]+)*
 NUMBER = r"(?U)^[\d,.\-+eE\s%]+\z"
 
 
+#: What normalisation would change: white space other than single blanks inside, and zero-width marks.
+UNEVEN = r"[\t-\r\x85\xA0\u1680\u2000-\u200B\u2028\u2029\u202F\u205F\u3000\uFEFF]|  |^ | \z"
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
@@ -25,8 +29,9 @@ def strip(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Zero-width marks dropped, white space collapsed to one space, ends stripped."""
+    # most texts have nothing to change, which one plain pattern tells
     one = F.regexp_replace(F.regexp_replace(c, "[\u200b\ufeff]", ""), SPACE, " ")
-    return F.regexp_replace(one, r"^ | \z", "")
+    return F.when(c.rlike(UNEVEN), F.regexp_replace(one, r"^ | \z", "")).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
@@ -38,9 +43,9 @@ def is_noise(c: Column) -> Column:
     return c.rlike(NOISE)
 
 
-def is_non_translatable(c: Column) -> Column:
-    """Empty, a bare link, an ISBN, a figure or table label, or a number."""
-    v = strip(c)
+def is_non_translatable(c: Column, stripped: bool = False) -> Column:
+    """Empty, a bare link, an ISBN, a figure or table label, or a number. stripped: c has no white space at its ends."""
+    v = c if stripped else strip(c)
     return (v == "") | v.rlike(LINK) | v.rlike(ISBN) | v.rlike(LABEL) | (v.rlike("[0-9]") & v.rlike(NUMBER))
 
 

@@ -15,7 +15,7 @@ from ..functions import keys, names, services, text, tokens
 from ..operators import checkpoint, markup, packages, packing, review
 from ..operators.glossary import Glossary
 from ..operators.translate import FunctionEngine, Policy, translate_groups
-from .units import SPACES, SQL_FIXED, SQL_NOISE, UNITS, paragraphs, sql_normal, sql_strip, table
+from .units import ORDER, SPACES, SQL_FIXED, SQL_NOISE, UNITS, paragraphs, sql_normal, sql_strip, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -137,13 +137,13 @@ def language_code(spark, sf_dir):
 
 
 @query(f"""
-WITH t AS (SELECT doc_id AS k, left(text, 260) AS title FROM documents UNION ALL SELECT page_id + 10000000, url FROM pages
+WITH t AS (SELECT doc_id AS k, text AS title FROM documents UNION ALL SELECT page_id + 10000000, url FROM pages
   UNION ALL SELECT k, v FROM {sql_values([(-1, "CON"), (-2, "a/b:*?"), (-3, "...Title. ."), (-4, " \t "), (-5, "lpt9")], "k, v")}),
 a AS (SELECT k, regexp_replace(regexp_replace({sql_strip("regexp_replace(title, '[\\x00-\\x1F\\x7F-\\x{9F}<>:\"/\\\\|?*]', '_', 'g')")}, '^\\.+', ''), '[. ]+$', '') AS n FROM t),
 b AS (SELECT k, CASE WHEN n = '' THEN 'book' WHEN regexp_matches(upper(n), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || n ELSE n END AS n FROM a)
-SELECT k, (CASE WHEN strlen(n) <= 195 THEN n ELSE left(n, (SELECT max(i) FROM range(1, length(n) + 1) r(i) WHERE strlen(left(n, i)) <= 195)::INT) END) || '.epub' AS filename FROM b""")
+SELECT k, (CASE WHEN strlen(n) <= 195 THEN n ELSE left(n, (SELECT max(i) FROM range(1, least(length(n), 195) + 1) r(i) WHERE strlen(left(n, i)) <= 195)::INT) END) || '.epub' AS filename FROM b""")
 def output_filename(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.substring("text", 1, 260).alias("title"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("title"))
     pages = table(spark, sf_dir, "pages").select((F.col("page_id") + 10_000_000).alias("k"), F.col("url").alias("title"))
     more = values(spark, [(-1, "CON"), (-2, "a/b:*?"), (-3, "...Title. ."), (-4, " \t "), (-5, "lpt9")], "k, title").select(F.col("k").cast("long").alias("k"), "title")
     return docs.unionByName(pages).unionByName(more).select("k", names.output_filename(F.col("title"), "epub").alias("filename"))
@@ -353,14 +353,14 @@ def cache_clear_all(spark, sf_dir):
 
 
 @query(f"""
-WITH {ROWS}, d AS (SELECT ck.*, l.quality, l.toxic FROM ck LEFT JOIN labels l ON l.doc_id = ck.ord // 1000000)
+WITH {ROWS}, d AS (SELECT ck.*, l.quality, l.toxic FROM ck LEFT JOIN labels l ON l.doc_id = ck.ord // {ORDER})
 SELECT id, CASE WHEN quality IS NULL THEN ignored WHEN quality = 0 THEN FALSE ELSE toxic = 1 END AS ignored,
   CASE WHEN quality IS NULL THEN translation WHEN quality = 0 OR toxic = 1 THEN NULL WHEN ord % 2 = 0 THEN 'R' || original ELSE translation END AS translation,
   CASE WHEN quality IS NULL THEN engine_name WHEN quality = 0 OR toxic = 1 THEN NULL WHEN ord % 2 = 0 THEN 'person' ELSE engine_name END AS engine_name FROM d""")
 def apply_review(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     labels = table(spark, sf_dir, "labels")
-    d = rows.withColumn("doc_id", F.expr("ord div 1000000")).join(labels, "doc_id").select("id", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("R"), "original")).alias("translation"), (F.col("toxic") == 1).alias("ignored"), (F.col("quality") == 0).alias("retranslate"))
+    d = rows.withColumn("doc_id", F.expr(f"ord div {ORDER}")).join(labels, "doc_id").select("id", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("R"), "original")).alias("translation"), (F.col("toxic") == 1).alias("ignored"), (F.col("quality") == 0).alias("retranslate"))
     return checkpoint.apply_review(rows, d, "person", "z").select("id", "ignored", "translation", "engine_name")
 
 

@@ -107,7 +107,7 @@ def test_splitting_places():
 
 def test_prompts_and_bodies():
     assert services.prompt_of("<slang> to <tlang>", "Auto", "X") == "detected language to X"
-    assert "glossary tokens" in services.prompt_of("p", "a", "b", markup=True, glossary=True)
+    assert "{{etg_0123456789ab_000000}}" in services.prompt_of("p", "a", "b", markup=True, glossary=True)
     assert services.request_body("openai", "", "t", "p") == {"messages": [{"role": "system", "content": "p"}, {"role": "user", "content": "t"}], "temperature": 0.3}
     claude = services.request_body("claude", "m", "t", "p", sampling="top_p", extra={"max_tokens": 9, "k": 1}, stream=True)
     assert claude == {"model": "m", "max_tokens": 9, "system": "p", "messages": [{"role": "user", "content": "t"}], "top_p": 1.0, "stream": True, "k": 1}
