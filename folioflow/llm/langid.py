@@ -17,6 +17,7 @@ are fitted without one of the languages: a threshold lies halfway between the
 median of the texts and snippets of the languages left out and what all but
 `reject_share` of the held-back ones that are named rightly exceed, and never
 over the latter; texts may have `unmet_times` as many unknown grams as these.
+Held-back texts too few to show that share widen both, by half the logarithm of what lacks.
 
 A text that is null or has no letter is `und` with score 0, and rejected.
 Rows with a null id or lang are predicted, not learned from (a null id counts
@@ -228,7 +229,10 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, ep
         score, known = (np.concatenate(x) for x in zip(*outside, strict=True))
         model.reject_below = min(model.reject_below, (model.reject_below + float(np.median(score))) / 2)
         model.known_below = min(model.known_below, (model.known_below + float(np.median(known))) / 2)
-    model.known_below = max(0.0, 1 - unmet_times * (1 - model.known_below))
+    # too few texts to show the share have their least value too high
+    few = max(1.0, float(-np.log((named == y).sum() * reject_share)) / 2)
+    model.reject_below = max(0.0, 1 - few * (1 - model.reject_below))
+    model.known_below = max(0.0, 1 - few * unmet_times * (1 - model.known_below))
     return model
 
 
