@@ -145,7 +145,7 @@ class Parts:
 
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(signature, which set) of the runs, and of the parts taken that aren't empty."""
-        n = np.array([len(s) for s in sets])
+        n = np.array([len(s) for s in sets], np.int64)
         all_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         own_all = np.repeat(np.arange(len(sets)), n)
         grown = mix(all_ * np.uint64(0x9FB21C651E98DF25))
