@@ -32,9 +32,9 @@ SPACES = r"[ \t\r\x0B\f]+"
 LETTER = r"\p{L}"
 #: A line that masking leaves as it is: it begins with a letter, has no digit, and its white space is single spaces.
 PLAIN = r"^\p{L}[^0-9 \t\r\x0B\f]*+(?: [^0-9 \t\r\x0B\f]++)*+$"
-#: First and last three words of a line, of a short one its halves, and the three after and before them: an edit changes few of them.
+#: First and last three words of a line, of a short one its halves (the first of under four words: all of it), and the three after and before them: an edit changes few of them.
 ENDS = {
-    "head": "substring_index(line, ' ', least(3, (words + 1) div 2))",
+    "head": "if(words < 4, line, substring_index(line, ' ', least(3, (words + 1) div 2)))",
     "tail": "substring_index(line, ' ', -least(3, words div 2))",
     "second": "if(words < 6, null, substring_index(substring_index(line, ' ', 6), ' ', -3))",
     "last_but_one": "if(words < 6, null, substring_index(substring_index(line, ' ', -6), ' ', 3))",
@@ -185,7 +185,7 @@ own AS (
   SELECT th, arg_max({'w': w, 'n': n}, (length(m), -i)) FILTER (NOT shared) AS r FROM marked
   GROUP BY th HAVING 3 * count(*) FILTER (NOT shared) >= count(*)
 ), about AS (
-  SELECT th, array_to_string(r.w[1:least(3, (r.n + 1) // 2)], ' ') AS h,
+  SELECT th, array_to_string(r.w[1:CASE WHEN r.n < 4 THEN r.n ELSE least(3, (r.n + 1) // 2) END], ' ') AS h,
     [CASE WHEN r.n > 1 THEN array_to_string(r.w[r.n - least(3, r.n // 2) + 1:r.n], ' ') END, CASE WHEN r.n >= 6 THEN array_to_string(r.w[4:6], ' ') END,
      CASE WHEN r.n >= 6 THEN array_to_string(r.w[r.n - 5:r.n - 3], ' ') END] AS ends
   FROM own

@@ -76,7 +76,7 @@ def plain_lines(rows):
             w = max(own)[2]
             n = len(w)
             ends = {tuple(w[n - min(3, n // 2) :])} if n > 1 else set()
-            about[t] = tuple(w[: min(3, (n + 1) // 2)]), ends | ({tuple(w[3:6]), tuple(w[-6:-3])} if n >= 6 else set())
+            about[t] = tuple(w[: n if n < 4 else min(3, (n + 1) // 2)]), ends | ({tuple(w[3:6]), tuple(w[-6:-3])} if n >= 6 else set())
     gone = set()
     for k in often:
         heads = defaultdict(list)
