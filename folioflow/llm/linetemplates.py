@@ -99,7 +99,9 @@ def independent(placed: DataFrame, some: DataFrame, often: DataFrame, min_texts:
     rest = F.max(F.when(F.col("shared").isNull(), F.struct("size", (-F.col("pos")).alias("place"), *ENDS))).alias("rest")
     own = marked.groupBy("k2").agg(F.count("*").alias("lines"), F.count_if(F.col("shared").isNull()).alias("own"), rest)
     own = own.filter("3 * own >= lines").select("k2", F.col("rest.head").alias("head"), F.array(*(f"rest.{c}" for c in ENDS if c != "head")).alias("ends"))
-    held = common.cut(some.join(often, ["t1", "t2"]).select("t1", "t2", "k2").distinct().join(own, "k2"))
+    # distinct before the join: behind it, the join's partitions would serve, and with them a template that most texts hold is one task
+    texts = some.select("t1", "t2", "k2").distinct()
+    held = common.cut(common.split_join(texts, often, ["t1", "t2"]).join(own, "k2"))
     heads = held.groupBy("t1", "t2", "head").agg(F.count("*").alias("n"))
     edited = heads.filter("n > 1")
     groups = edited.groupBy("t1", "t2").agg(F.sum(F.least("n", F.lit(min_texts))).alias("edited"))
