@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 import tempfile
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,9 @@ class Outcome:
 class Job:
     """Runs of one configuration. Engines may be given; else they come from the settings."""
 
+    #: Batches sent before their outcomes are stored.
+    WAVE = 64
+
     def __init__(self, spark: SparkSession, config: Config, engines: list[Engine] | None = None):
         self.spark, self.config = spark, config.validate()
         pairs = read_glossary(spark, config.glossary_path, config.glossary) if config.glossary_path else Glossary([]).pairs
@@ -72,6 +76,7 @@ class Job:
         signature = first["element_signature"]
         key = keys.cache_key(self.config.key_settings(md5, signature, self.glossary.pairs))
         rows = checkpoint.as_rows(elements.withColumn("cache_key", F.lit(key)))
+        self.store.fold(key)  # what a lost run has stored
         self.store.write(key, checkpoint.upsert(self.store.read(key), rows))
         return key, md5, signature, elements
 
@@ -102,20 +107,37 @@ class Job:
         return Outcome(path, key, done["translated"], done["total"], failed, written)
 
     def translate(self, key: str) -> int:
-        """Sends what is pending and stores what comes back; the number of units that failed."""
+        """Sends what is pending and stores what comes back; the number of units that failed.
+
+        Batches go in waves of `WAVE`. A wave's outcomes are stored before the
+        next one is sent, so a lost run loses one wave at most; its other ones
+        are folded in when the book is prepared again. Failures in a row are
+        counted anew in each wave; after a wave that they stopped none is sent.
+        """
         c = self.config
         rows = self.store.read(key)
         todo = checkpoint.first_pending(rows, c.test_num if c.test_enabled else 0)
         groups = packing.group_rows(packing.merge_groups(todo.withColumn("book", F.lit(key)), c.merge_length, c.merge_enabled))
         policy = c.engine_config().policy(c.max_error_count, partitions=1)  # one limit on the rate of requests
-        sent = translate_groups(groups, self.engines, c.effective_prompt(), c.source_lang, c.target_lang, self.glossary, policy)
-        # outcomes are stored before anything reads them twice, as reading again would ask again
-        kept = f"{self.store.path}/{key}/outcomes-{os.urandom(8).hex()}"
-        sent.write.parquet(kept)
-        outcomes = self.spark.read.parquet(kept)
-        done = outcomes.filter("error is null").select("id", F.col("text").alias("translation"), "engine_name", F.lit(c.target_lang).alias("target_lang"))
-        self.store.write(key, checkpoint.update_translations(rows, done))
-        return batch_results(outcomes).first()["failed"]
+        packed = f"{self.store.path}/{key}/batches-{os.urandom(8).hex()}"
+        groups.write.parquet(packed)
+        groups = self.spark.read.parquet(packed)
+        waves = -(-groups.count() // self.WAVE)
+        wave = F.pmod(F.xxhash64("group_start"), F.lit(max(waves, 1)))
+        failed = 0
+        for i in range(waves):
+            if i:
+                time.sleep(policy.interval)
+            sent = translate_groups(groups.filter(wave == i), self.engines, c.effective_prompt(), c.source_lang, c.target_lang, self.glossary, policy)
+            # outcomes are stored before anything reads them twice, as reading again would ask again
+            told = self.store.add_wave(key, sent.select("id", "error", F.col("text").alias("translation"), "engine_name", F.lit(c.target_lang).alias("target_lang")))
+            ended = batch_results(told).first()
+            failed += ended["failed"]
+            if ended["stopped"]:
+                failed += groups.filter(wave > i).select(F.coalesce(F.sum(F.size("members")), F.lit(0)).alias("n")).first()["n"]
+                break
+        self.store.fold(key)
+        return failed
 
     def write(self, key: str, path: str, output: str, elements: DataFrame) -> None:
         """The book with its translations, to a temporary file that then takes its name."""

@@ -8,6 +8,8 @@ complete, so a job that is lost or tried twice changes nothing they see.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,6 +137,33 @@ class Checkpoint:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{key}/v-{version:08d}")
 
+    def _waves(self, key: str) -> tuple[list[str], list[str]]:
+        """Folders of outcomes that wait, the complete ones; and all that a run has left."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        folder = path(f"{self.path}/{key}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return [], []
+        left = {s.getPath().toString(): s.getPath().getName() for s in fs.listStatus(folder)}
+        found = sorted(p for p, name in left.items() if name.startswith(("wave-", "batches-")))
+        return [p for p in found if left[p].startswith("wave-") and fs.exists(path(f"{p}/_SUCCESS"))], found
+
+    def add_wave(self, key: str, outcomes: DataFrame) -> DataFrame:
+        """Stores outcomes(id, error, translation, engine_name, target_lang), to be folded in later, and gives them as stored."""
+        kept = f"{self.path}/{key}/wave-{os.urandom(8).hex()}"
+        outcomes.select("id", "error", *DONE).write.parquet(kept)
+        return self.spark.read.parquet(kept)
+
+    def fold(self, key: str) -> None:
+        """Brings the rows up to the outcomes that wait, of a lost run too; these go once the rows are written."""
+        waves, found = self._waves(key)
+        if waves:
+            done = self.spark.read.parquet(*waves).filter("error is null").select("id", *DONE)
+            self.write(key, update_translations(self.read(key), done))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for w in found:
+            path(w).getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path(w), True)
+
     def write(self, key: str, rows: DataFrame) -> None:
         _, last = self._versions(key)
         rows.select(*T.StructType.fromDDL(SCHEMA).names).write.parquet(f"{self.path}/{key}/v-{last + 1:08d}")

@@ -128,6 +128,10 @@ class HttpEngine:
         return choice.get("text") or ""
 
 
+#: What the units say that a breaker kept from being sent.
+STOPPED = "stopped"
+
+
 @dataclass(frozen=True)
 class Policy:
     """interval and concurrency hold in each Python worker: for a limit over the cluster, run the operator in `partitions` tasks and give each its share."""
@@ -275,7 +279,7 @@ class Worker:
         while todo:
             part = todo.popleft()
             if self.breaker.open:
-                out += [(m["id"], None, None, _error("stopped", None, None, "Permanent")) for m in part]
+                out += [(m["id"], None, None, _error(STOPPED, None, None, "Permanent")) for m in part]
                 continue
             try:
                 if len(part) == 1:
@@ -319,5 +323,6 @@ def translate_groups(groups: DataFrame, engines: list[Engine], prompt: str, sour
 
 
 def batch_results(outcomes: DataFrame) -> DataFrame:
-    """(done, failed): units by how they ended."""
-    return outcomes.agg(F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    """(done, failed, stopped): units by how they ended; the failed ones include those that a breaker stopped."""
+    told = F.col("error")
+    return outcomes.agg(F.count_if(told.isNull()).alias("done"), F.count_if(told.isNotNull()).alias("failed"), F.count_if(told["message"] == STOPPED).alias("stopped"))

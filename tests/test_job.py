@@ -75,6 +75,37 @@ def test_failures_and_ranges(spark, tmp_path, book):
     assert ranged.ok and "V Notes here." in page(tmp_path / "o.epub") and "T First one" in page(tmp_path / "o.epub", "OEBPS/nav.xhtml")
 
 
+def test_lost_run_keeps_its_waves(spark, tmp_path, book):
+    job = Job(spark, config(tmp_path), [FunctionEngine(lambda t: "T " + t)])
+    job.WAVE = 1
+    store, waves = job.store.add_wave, []
+
+    def lost(key, outcomes):
+        if len(waves) == 2:
+            raise RuntimeError("lost")
+        waves.append(store(key, outcomes))
+        return waves[-1]
+
+    job.store.add_wave = lost
+    with pytest.raises(RuntimeError, match="lost"):
+        job.run(book, str(tmp_path / "o.epub"))
+    kept = sum(w.count() for w in waves)
+    again = Job(spark, config(tmp_path), [FunctionEngine(lambda t: "U " + t)])
+    done = again.run(book, str(tmp_path / "o.epub"))
+    said = [r.translation for r in again.store.read(done.key).filter("translation is not null").collect()]
+    assert done.ok and 0 < kept < 6 and len(said) == 6 and sum(t.startswith("T ") for t in said) == kept
+    assert again.store._waves(done.key) == ([], [])
+
+
+def test_stopped_wave_ends_the_run(spark, tmp_path, book):
+    def fails(text):
+        raise ServiceError("HTTP 400", 400)
+
+    job = Job(spark, config(tmp_path, max_error_count=1), [FunctionEngine(fails)])
+    job.WAVE = 2
+    assert job.run(book, str(tmp_path / "o.epub")).failed == 6
+
+
 def test_dry_run_and_folder(spark, tmp_path, book):
     job = Job(spark, config(tmp_path, test_enabled=True, test_num=2).override(), [FunctionEngine(lambda t: "T " + t)])
     assert [r.extension for r in job.dry_run(str(tmp_path / "*.epub")).collect()] == ["epub"]
