@@ -92,6 +92,7 @@ class Config:
     glossary_path: str = ""
     glossary: dict[str, str] = field(default_factory=dict)
     input_encoding: str = ""
+    ebook_convert_path: str = ""
     max_error_count: int = 10
     skip_failed: bool = False
     log_file: str = ""
@@ -123,17 +124,25 @@ class Config:
             with open(path, encoding="utf-8") as f:
                 told = json.load(f)
         config = cls.from_dict(told)
-        return dataclasses.replace(config, **{k: os.path.expanduser(getattr(config, k)) for k in ("cache_dir", "glossary_path", "log_file")})
+        return dataclasses.replace(config, **{k: os.path.expanduser(getattr(config, k)) for k in ("cache_dir", "glossary_path", "log_file", "ebook_convert_path")})
 
     def override(self, **given) -> Config:
         """With settings of a call over these; None leaves one as it is. Tests go on after failures."""
         config = dataclasses.replace(self, **{k: v for k, v in given.items() if v is not None})
+        if config.input_encoding:
+            known = {e.lower(): e for e in ENCODINGS}
+            config = dataclasses.replace(config, input_encoding=known.get(config.input_encoding.lower(), config.input_encoding))
         if config.test_enabled:
             config = dataclasses.replace(config, skip_failed=True)
-        if bool(config.retranslate_file) != bool(config.retranslate_start):
+        file, start, end = (v.strip() for v in (config.retranslate_file, config.retranslate_start, config.retranslate_end))
+        if (file or start or end) and not (file and start):
             raise ConfigError("a range to translate again needs a file and a start")
         return config
 
+    def with_concurrency(self, n: int) -> Config:
+        """With another number of requests at a time for the chosen engine."""
+        return dataclasses.replace(self, engines=self.engines | {self.engine: dataclasses.replace(self.engine_config(), concurrency=n)})
+
     def engine_config(self, name: str | None = None) -> EngineConfig:
         return self.engines.get(name or self.engine, EngineConfig())
 

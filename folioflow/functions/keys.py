@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: element_signature of a book without elements.
+OF_NOTHING = hashlib.md5(b"[]").hexdigest()
+
+
 def uid(kind: Column, resource: Column, key: Column) -> Column:
     """Where an element stands; its content plays no part."""
     return F.md5(F.concat_ws(":", F.lit("v2"), kind, resource, key.cast("string")).cast("binary"))

@@ -14,27 +14,41 @@ def merge_groups(units: DataFrame, limit: int, enabled: bool = True, pages_once:
     A batch holds neighbouring units of one page, at most `limit` code points in
     all; a unit over the limit is a batch of its own. The packing is greedy, so
     it runs along a page; pages are packed side by side. pages_once: a page's
-    units all follow each other, which spares the window over a whole book.
+    units all follow each other, which spares looking for pages that don't.
     """
     if not enabled or limit <= 0:
         return units.withColumn("group_start", F.col("ord"))
-    if pages_once:
-        runs = units.withColumn("__run", F.lit(0))
-    else:
-        order = Window.partitionBy("book").orderBy("ord")
-        before = F.lag(F.struct("page")).over(order)
-        runs = units.withColumn("__new", F.when(before.isNull() | before["page"].eqNullSafe(F.col("page")), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(order.rowsBetween(*ALL_BEFORE))).drop("__new")
-    sizes = runs.groupBy("book", "page", "__run").agg(F.sort_array(F.collect_list(F.struct("ord", F.length("original").cast("long").alias("size")))).alias("u"))
+    size = F.struct("ord", F.length("original").cast("long").alias("size"), F.lit(False).alias("first"))
+    pages = units.groupBy("book", "page").agg(F.sort_array(F.collect_list(size)).alias("u"))
     state = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<bigint>").alias("starts"))
 
     def step(s: Column, x: Column) -> Column:
-        new = (F.size(s["starts"]) == 0) | (s["held"] + x["size"] > limit)
+        new = x["first"] | (F.size(s["starts"]) == 0) | (s["held"] + x["size"] > limit)
         return F.struct(F.when(new, x["size"]).otherwise(s["held"] + x["size"]).alias("held"), F.when(new, F.concat(s["starts"], F.array(x["ord"]))).otherwise(s["starts"]).alias("starts"))
 
     # a page's batch starts go back to its units, each of which takes the last one that isn't after it
-    starts = sizes.select("book", "page", "__run", F.aggregate("u", state, step)["starts"].alias("__starts"))
-    joined = _left(runs, starts, ["book", "page", "__run"])
-    return joined.withColumn("group_start", F.array_max(F.filter("__starts", lambda s: s <= F.col("ord")))).drop("__run", "__starts")
+    starts = (pages if pages_once else _interrupted(pages)).select("book", "page", F.aggregate("u", state, step)["starts"].alias("__starts"))
+    joined = _left(units, starts, ["book", "page"])
+    return joined.withColumn("group_start", F.array_max(F.filter("__starts", lambda s: s <= F.col("ord")))).drop("__starts")
+
+
+def _interrupted(pages: DataFrame) -> DataFrame:
+    """pages(book, page, u) with `first` set in the units that another page's units stand before, amid the page.
+
+    Which pages others reach into is told by where each begins and ends, a row a
+    page; only the units of these are put in order along their book.
+    """
+    spans = pages.select("book", "page", F.col("u")[0]["ord"].alias("from"), F.element_at("u", -1)["ord"].alias("to"))
+    along = Window.partitionBy("book").orderBy("from", "to")
+    reaches = F.coalesce(F.max("to").over(along.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("from"), F.lit(False))
+    reached = F.coalesce(F.lead("from").over(along) <= F.col("to"), F.lit(False))
+    mixed = spans.withColumn("__mixed", reaches | reached).filter("__mixed").select("book", "page", "__mixed")
+    told = _left(pages, mixed, ["book", "page"])
+    rows = told.filter("__mixed").select("book", "page", F.explode("u").alias("x")).select("book", "page", "x.ord", "x.size")
+    before = F.lag(F.struct("page")).over(Window.partitionBy("book").orderBy("ord"))
+    first = ~(before.isNull() | before["page"].eqNullSafe(F.col("page")))
+    again = rows.withColumn("first", first).groupBy("book", "page").agg(F.sort_array(F.collect_list(F.struct("ord", "size", "first"))).alias("u"))
+    return told.filter("__mixed is null").select("book", "page", "u").unionByName(again)
 
 
 def _left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

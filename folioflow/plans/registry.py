@@ -585,3 +585,6 @@ def translate_map(spark, sf_dir):
     groups = packing.group_rows(packing.merge_groups(rows, LIMIT, pages_once=True))
     done = translate_groups(groups, [FunctionEngine(_marked, "marker")], "To <tlang>.", "English", "Upper", policy=Policy(interval=0.0, retry_delay=0.0))
     return done.filter("error is null").select("book", "id", "text", "engine_name")
+
+
+from . import archives  # noqa: E402, F401  registers its queries, by what is defined above

@@ -10,6 +10,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,12 @@ from ..operators import markup, packages
 EXTENSIONS = "epub mobi azw3 azw fb2 pdf rtf txt docx html htm odt pdb cbz cbr".split()
 NATIVE = "epub"
 
+#: Bounds of what a task hands on at a time.
+FRAME_BYTES, FRAME_ROWS = 16 << 20, 1000
+
+#: What files begin with that aren't whole yet.
+HIDDEN = ".folioflow-"
+
 MEMBER = "book string, idx int, name string, size long, csize long, content binary"
 
 
@@ -35,39 +42,91 @@ def list_books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_members(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:
-    """One row for each file in each EPUB under the path, in archive order. Each archive is read by one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+    """One row for each file in each EPUB under the path."""
+    return members_of(epub_files(spark, path), with_content)
+
+
+def epub_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+
+
+def members_of(files: DataFrame, with_content: bool = True) -> DataFrame:
+    """One row for each file in each archive of files(path, content), in archive order. Each archive is read by one task."""
+
+    def rows(book: str, data: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for i, m in enumerate(z.infolist()):  # none over the limit is unpacked
+                body = z.read(m) if with_content and m.file_size <= packages.MEMBER_BYTES else None
+                yield book, i, m.filename, m.file_size, m.compress_size, body
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for book, data in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for i, m in enumerate(z.infolist()):  # a member at a time, and none over the limit is unpacked
-                        body = z.read(m) if with_content and m.file_size <= packages.MEMBER_BYTES else None
-                        yield pd.DataFrame([(book, i, m.filename, m.file_size, m.compress_size, body)], columns=["book", "idx", "name", "size", "csize", "content"])
+        return _framed((r for pdf in frames for book, data in zip(pdf["path"], pdf["content"], strict=True) for r in rows(book, data)), ["book", "idx", "name", "size", "csize", "content"])
+
+    return files.select("path", "content").mapInPandas(run, MEMBER)
+
+
+def _framed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows in frames that hold a bounded number of bytes (and one row at least)."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(v) for v in r if isinstance(v, bytes))
+        if size >= FRAME_BYTES or len(held) >= FRAME_ROWS:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
-    return files.mapInPandas(run, MEMBER)
 
+def pack_members(members: DataFrame) -> DataFrame:
+    """members(book, idx, name, content) as files(path, content): an archive a book. A book's members meet in one task, as they do in its file."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
+            for name, data in pdf.sort_values("idx")[["name", "content"]].itertuples(index=False):
+                w.writestr(zipfile.ZipInfo(name), bytes(data), zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"path": [pdf["book"].iloc[0]], "content": [out.getvalue()]})
+
+    return members.select("book", "idx", "name", "content").groupBy("book").applyInPandas(run, "path string, content binary")
 
-def opf_files(members: DataFrame) -> DataFrame:
-    """(book, path, content) of each book's package file, found through its container."""
-    containers = members.filter("name = 'META-INF/container.xml'").select("book", "content")
-    path = F.udf(lambda c: packages.container_path(markup.decode_page(bytes(c))), "string")  # one short file a book
-    named = containers.select("book", path("content").alias("name"))
-    return members.join(named, ["book", "name"]).select("book", F.col("name").alias("path"), "content")
+
+def package_files(files: DataFrame) -> DataFrame:
+    """(book, path, content) of the package file of each of files(path, content), found through its container; no other member is unpacked."""
+
+    def row(book: str, data: bytes) -> tuple:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            path = packages.container_path(markup.decode_page(_small(z, "META-INF/container.xml")))
+            return book, path, _small(z, path)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _framed((row(book, data) for pdf in frames for book, data in zip(pdf["path"], pdf["content"], strict=True)), ["book", "path", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "book string, path string, content binary")
+
+
+def _small(z: zipfile.ZipFile, name: str) -> bytes:
+    if z.getinfo(name).file_size > packages.MEMBER_BYTES:
+        raise ValueError(f"member too large: {name}")
+    return z.read(name)
 
 
 def scan_books(spark: SparkSession, path: str, rules: markup.Rules = markup.Rules(), only_files: str = "", exclude_files: str = "", translate_metadata: bool = False, translate_title: bool = False) -> DataFrame:
-    """All elements of the books under a path, keyed and in reading order: metadata, contents, then text.
+    """All elements of the EPUBs under a path, as of scan_files."""
+    return scan_files(epub_files(spark, path), rules, only_files, exclude_files, translate_metadata, translate_title)
+
+
+def scan_files(files: DataFrame, rules: markup.Rules = markup.Rules(), only_files: str = "", exclude_files: str = "", translate_metadata: bool = False, translate_title: bool = False) -> DataFrame:
+    """All elements of the EPUBs files(path, content), keyed and in reading order: metadata, contents, then text.
 
     (book, ord, kind, page, key, raw, original, ignored, id, signature). A book
     whose archive breaks a limit, or lacks a text file, raises.
     """
-    members = read_members(spark, path)
+    members = members_of(files, with_content=False)  # what archives list is read apart from what they hold
     bad = packages.archive_violations(members).select(F.concat_ws(": ", "book", "violation", "name").alias("what")).limit(1).collect()
     if bad:
         raise ValueError(bad[0].what)
-    opfs = opf_files(members)
+    opfs = package_files(files)
     told = packages.package_rows(opfs)
     items = packages.manifest(told)
     contents = contents_of(told, items)
@@ -75,10 +134,10 @@ def scan_books(spark: SparkSession, path: str, rules: markup.Rules = markup.Rule
     lacking = packages.missing_members(order, members).limit(1).collect()
     if lacking:
         raise ValueError(f"{lacking[0].book}: the file {lacking[0].href} is missing")
-    files = members.select("book", F.col("name").alias("resolved"), "content")
-    text = _decoded(order.join(files, ["book", "resolved"]).select("book", F.col("href").alias("page"), "place", "content"))
+    held = members_of(files).select("book", F.col("name").alias("resolved"), "content")
+    text = _decoded(order.join(held, ["book", "resolved"]).select("book", F.col("href").alias("page"), "place", "content"))
     body = markup.extract_pages(text, rules).join(order.select("book", F.col("href").alias("page"), "place"), ["book", "page"])
-    toc = _contents(contents.join(files, ["book", "resolved"]).select("book", "href", "format", "content"))
+    toc = _contents(contents.join(held, ["book", "resolved"]).select("book", "href", "format", "content"))
     meta = _metadata(opfs, translate_metadata, translate_title)
     number = F.regexp_extract("key", r"(\d+)$", 1).cast("long")
     every = meta.select("*", F.lit(0).alias("part"), F.lit(0).alias("place"), F.col("seq").alias("nth")).drop("seq").unionByName(toc.select("*", F.lit(1).alias("part"), F.lit(0).alias("place"), number.alias("nth"))).unionByName(body.select("book", "page", "kind", "key", "raw", "original", "ignored", F.lit(2).alias("part"), "place", number.alias("nth")))
@@ -167,6 +226,36 @@ def rewrite_epub(data: bytes, translations: dict[str, str], rules: markup.Rules,
     return out.getvalue(), n
 
 
+def rewrite_books(files: DataFrame, translations: DataFrame, rules: markup.Rules = markup.Rules(), look: markup.Look = markup.Look(), title: str | None = None, only_files: str = "", exclude_files: str = "") -> DataFrame:
+    """files(path, content) with translations(book, id, translation) of their path put in: (path, content, injected), the last how many."""
+    said = translations.filter(F.col("translation").isNotNull()).groupBy(F.col("book").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("id", "translation"))).alias("said"))  # one book's text, which its file holds too
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        books_ = (row for pdf in frames for row in zip(pdf["path"], pdf["content"], pdf["said"], strict=True))
+        made = ((path, *rewrite_epub(bytes(data), dict(told) if told is not None else {}, rules, look, title, only_files, exclude_files)) for path, data, told in books_)
+        return _framed(made, ["path", "content", "injected"])
+
+    return files.select("path", "content").join(said, "path", "left").mapInPandas(run, "path string, content binary, injected long")
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """files(path, content, injected) as (path, injected, place): each written by its task to a hidden file of the folder, which the driver gives its name.
+
+    The folder must be one that driver and executors share. A task that runs
+    twice leaves two files; the one that counts is the one it tells of.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for path, data, n in zip(pdf["path"], pdf["content"], pdf["injected"], strict=True):
+                handle, place = tempfile.mkstemp(dir=folder, prefix=HIDDEN)
+                with os.fdopen(handle, "wb") as f:
+                    f.write(data)
+                yield pd.DataFrame({"path": [path], "injected": [n], "place": [place]})
+
+    return files.select("path", "content", "injected").mapInPandas(run, "path string, injected long, place string")
+
+
 def _resolved(base: str, href: str) -> str:
     from urllib.parse import unquote
 
@@ -230,28 +319,50 @@ class EpubReader(DataSourceReader):
                 yield partition.value, i, m.filename, m.file_size, m.compress_size, z.read(m) if m.file_size <= packages.MEMBER_BYTES else None
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    #: Hidden files of a task with the names they are to take.
+    files: list[tuple[str, str]]
+
+
 class EpubWriter(DataSourceWriter):
-    """Writes members, grouped by book and sorted by idx within a partition, as archives: each to a temporary file that then takes its name."""
+    """Writes members, grouped by book and sorted by idx within a partition, as archives: to hidden files that take their names when all tasks are done."""
 
     def __init__(self, path: str):
         self.path = path.removeprefix("file://")
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, rows: Iterator) -> Written:
         os.makedirs(self.path, exist_ok=True)
-        book, archive, temp = None, None, None
-
-        def close() -> None:
+        book, archive, done = None, None, []
+        try:
+            for r in rows:
+                if r.book != book:
+                    if archive is not None:
+                        archive.close()
+                    book = r.book
+                    handle, temp = tempfile.mkstemp(dir=self.path, prefix=HIDDEN)
+                    os.close(handle)
+                    done.append((temp, os.path.join(self.path, os.path.basename(book))))
+                    archive = zipfile.ZipFile(temp, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(r.name, bytes(r.content), zipfile.ZIP_STORED if r.name == "mimetype" else None)
             if archive is not None:
                 archive.close()
-                os.replace(temp, os.path.join(self.path, os.path.basename(book)))
-
-        for r in rows:
-            if r.book != book:
-                close()
-                book = r.book
-                handle, temp = tempfile.mkstemp(dir=self.path, prefix=".epub-")
-                os.close(handle)
-                archive = zipfile.ZipFile(temp, "w", zipfile.ZIP_DEFLATED)
-            archive.writestr(r.name, bytes(r.content), zipfile.ZIP_STORED if r.name == "mimetype" else None)
-        close()
-        return WriterCommitMessage()
+        except BaseException:
+            _discard(done)
+            raise
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            for temp, name in m.files if m else []:
+                os.replace(temp, name)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            _discard(m.files if m else [])
+
+
+def _discard(files: list[tuple[str, str]]) -> None:
+    for temp, _ in files:
+        if os.path.exists(temp):
+            os.remove(temp)

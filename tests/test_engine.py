@@ -185,3 +185,79 @@ def test_operator(spark):
     groups = spark.createDataFrame([("b", [(0, "x", "one"), (1, "y", "two")]), ("b", [(2, "z", "three")])], "book string, members array<struct<ord:long,id:string,text:string>>")
     got = translate_groups(groups, [FunctionEngine(str.upper, "up")], "p <tlang>", "A", "B", policy=POLICY).collect()
     assert {(r.id, r.text, r.engine_name, r.error) for r in got} == {("x", "ONE", "up", None), ("y", "TWO", "up", None), ("z", "THREE", "up", None)}
+
+
+def test_pages_that_others_reach_into(spark):
+    import random
+
+    from folioflow.operators import packing
+
+    rng = random.Random(5)
+    rows, page = [], {"a": "p", "b": None}
+    for i in range(400):
+        book = rng.choice("ab")
+        if rng.random() < 0.2:
+            page[book] = rng.choice(["p", "q", "r", None, f"own{i}"])
+        rows.append((book, page[book], i, "x" * rng.randrange(1, 30)))
+    want, state = {}, {}
+    for book, at, i, text in rows:
+        last, held, start = state.get(book, ("none", 0, 0))
+        if last != at or held + len(text) > 60:
+            held, start = 0, i
+        state[book] = (at, held + len(text), start)
+        want[(book, i)] = start
+    df = spark.createDataFrame(rows, "book string, page string, ord long, original string")
+    got = {(r.book, r.ord): r.group_start for r in packing.merge_groups(df, 60).collect()}
+    assert got == want
+
+
+def test_tail_translation_column(spark):
+    from pyspark.sql import functions as F
+
+    from folioflow.functions import services
+
+    cases = ["", "plain. text", "So: é. ü ä", "x. é. end", "é, ü - ä no dots here", "thinking. 好的。再见", "é and ü; ß", "a.b.ü.", "好" * 3000 + " ok", "a\nb é\nc", " .é. "]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", services.tail_translation(F.col("c")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: services.tail_translation_of(c) for i, c in enumerate(cases)}
+
+
+def test_request_json_is_the_body(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from folioflow.functions import services
+
+    texts = ['a "b"\n', "é\\x", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind, more in (("openai", {"extra": {"seed": [1, "ü"]}, "stream": True}), ("claude", {"extra": {"max_tokens": 7}}), ("deepseek", {"sampling": "top_p", "top_p": 0.5})):
+        rows = df.select("t", services.request_json(kind, "m", F.col("t"), 'Say "x"\n', **more).alias("j")).collect()
+        assert all(json.loads(r.j) == services.request_body(kind, "m", r.t, 'Say "x"\n', **more) for r in rows)
+
+
+def test_split_protected_by_brute_force(spark):
+    import re
+
+    from folioflow.plans import registry
+
+    def plain(text):
+        """Among all places, the best: after a sentence within the middle half if there is one, else any, by bytes from the middle."""
+        if len(text) < 2:
+            return (None, None)
+        size = lambda i: len(text[:i].encode())
+        held = [m.span() for m in re.finditer(r"\{\{et[mg]_[^{}]+\}\}", text)]
+        free = [i for i in range(1, len(text)) if not any(a < i < b for a, b in held)]
+        after = [i for i in range(1, len(text) + 1) if (text[i - 1].isspace() or text[i - 1] in ".!?;。！？；") and size(len(text) // 4) < size(i - 1) < size(len(text) * 3 // 4) and not any(a < i < b or a < i - 1 < b for a, b in held)]
+        middle = size(len(text) // 2)
+        for places in (after, free):
+            if places:
+                at = min(places, key=lambda i: (abs(size(i) - middle), i))
+                return (text[:at], text[at:]) if at < len(text) else (None, None)
+        return (None, None)
+
+    folder = "/root/testdata/sf0.001"
+    found = registry.queries()["split_protected"](spark, folder).collect()
+    units = {r.ord: r.protected for r in registry.queries()["glossary_apply"](spark, folder).collect()}
+    short = [r for r in found if len(units[r.ord]) <= 400]
+    assert len(short) > 1000 and all((r.left, r.right) == plain(units[r.ord]) for r in short)
+    assert len(found) == len(units) and all(r.left + r.right == units[r.ord] for r in found if r.left is not None)
