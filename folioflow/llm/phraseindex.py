@@ -10,8 +10,8 @@ the document. So phrase matches are exact, and common words are never joined.
 `proximity` gives the windows whose rarest words come close, in any order.
 
 What the items give - their words, windows and rarest words - is broadcast
-while it has at most `broadcast_rows` rows, else joined by shuffle. The corpus
-never is.
+while it has at most `broadcast_bytes` bytes, which are counted first, else
+joined by shuffle. The corpus never is.
 
 Words are runs of 0-9, A-Z, a-z and characters beyond ASCII, with A-Z made
 lower case. A null text has none, and an item without words has no window. A
@@ -26,6 +26,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -62,8 +63,25 @@ def windows(items: DataFrame, size: int) -> DataFrame:
     )
 
 
-def bounded(small: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(small) if rows <= limit else small
+def measured(small: DataFrame) -> int:
+    """Bytes of the rows, about, as a task holds them: of strings their own and 16, of numbers 8, of a row 32."""
+    size = F.lit(32)
+    for f in small.schema:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            one = F.octet_length(c) + 16
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            one = F.aggregate(c, F.lit(16), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+        elif isinstance(f.dataType, T.ArrayType):
+            one = F.size(c) * 8 + 16
+        else:
+            one = F.lit(8)
+        size = size + F.coalesce(one, F.lit(8))
+    return small.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+
+
+def bounded(small: DataFrame, size: int, limit: int) -> DataFrame:
+    return F.broadcast(small) if size <= limit else small
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -74,25 +92,26 @@ def tokens(docs: DataFrame) -> DataFrame:
 class Index:
     """Windows of the items with their rarest words, and the postings of these."""
 
-    def __init__(self, docs: DataFrame, items: DataFrame, size: int = 10, broadcast_rows: int = 1 << 20):
-        self.docs, self.limit = docs, broadcast_rows
+    def __init__(self, docs: DataFrame, items: DataFrame, size: int = 10, broadcast_bytes: int = 32 << 20):
+        self.docs, self.limit = docs, broadcast_bytes
         wins = common.cut(windows(items, size))
         vocabulary = common.cut(wins.select(F.explode("words").alias("word")).distinct())
-        n_words = vocabulary.count()
-        found = tokens(docs).join(bounded(vocabulary, n_words, broadcast_rows), "word").groupBy("word").agg(F.count("*").alias("n"))
+        in_words = measured(vocabulary)  # their counts are no more
+        self.in_windows = measured(wins)
+        found = tokens(docs).join(bounded(vocabulary, in_words, broadcast_bytes), "word").groupBy("word").agg(F.count("*").alias("n"))
         counts = common.cut(found)
         # of each window, the places of its two rarest words; windows with a word that isn't in the corpus go
-        places = wins.select("win", F.size("words").alias("k"), F.posexplode("words").alias("off", "word")).join(bounded(counts, n_words, broadcast_rows), "word")
+        places = wins.select("win", F.size("words").alias("k"), F.posexplode("words").alias("off", "word")).join(bounded(counts, in_words, broadcast_bytes), "word")
         ranked = places.groupBy("win", "k").agg(F.sort_array(F.collect_list(F.struct("n", "off", "word"))).alias("by")).filter("size(by) = k")
         self.anchors = common.cut(ranked.select("win", "k", F.posexplode(F.slice("by", 1, 2)).alias("rank", "a")).select("win", "k", "rank", F.col("a.off").alias("off"), F.col("a.word").alias("word")))
-        self.n_anchors = self.anchors.count()
-        self.windows = wins.join(bounded(self.anchors.select("win").distinct(), self.n_anchors, broadcast_rows), "win", "left_semi")
+        self.in_anchors = measured(self.anchors)
+        self.windows = wins.join(bounded(self.anchors.select("win").distinct(), self.in_anchors, broadcast_bytes), "win", "left_semi")
         rare = self.anchors.select("word").distinct()
-        self.postings = tokens(docs).join(bounded(rare, self.n_anchors, broadcast_rows), "word")
+        self.postings = tokens(docs).join(bounded(rare, self.in_anchors, broadcast_bytes), "word")
 
     def candidates(self) -> DataFrame:
         """(k1, k2, win, k, start): where the lists of a window's rarest words, less their offsets, agree."""
-        at = self.postings.join(bounded(self.anchors, self.n_anchors, self.limit), "word").select("k1", "k2", "win", "k", (F.col("pos") - F.col("off")).alias("start"), "rank")
+        at = self.postings.join(bounded(self.anchors, self.in_anchors, self.limit), "word").select("k1", "k2", "win", "k", (F.col("pos") - F.col("off")).alias("start"), "rank")
         lists = at.filter("start >= 0").groupBy("k1", "k2", "win", "k", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"))
         return lists.filter("met = 3 or k = 1").drop("met")
 
@@ -104,11 +123,11 @@ class Index:
         # twins (rows of one id and text) ask alike, and one of them is enough
         read = self.docs.join(asked, ["k1", "k2"]).select("k1", "k2", F.explode(said).alias("s")).select("k1", "k2", "s.*")
         same = self.windows.select("win", "words", "item_ids")
-        return read.join(bounded(same, self.n_anchors, self.limit), ["win", "words"]).select("k1", "k2", "start", "k", "item_ids")
+        return read.join(bounded(same, self.in_windows, self.limit), ["win", "words"]).select("k1", "k2", "start", "k", "item_ids")
 
     def proximity(self, within: int) -> DataFrame:
         """(k1, k2, win, first, last): windows whose two rarest words stand at most `within` words apart, in any order; of more such places, the closest of each first one."""
-        at = self.postings.join(bounded(self.anchors, self.n_anchors, self.limit), "word").select("k1", "k2", "win", "rank", "pos")
+        at = self.postings.join(bounded(self.anchors, self.in_anchors, self.limit), "word").select("k1", "k2", "win", "rank", "pos")
         # places are dealt to stretches of `within` words, so that only near ones meet
         one = at.filter("rank = 0").withColumn("cell", F.explode(F.expr(f"sequence(pos div {within} - 1, pos div {within} + 1)")))
         two = at.filter("rank = 1").select("k1", "k2", "win", F.col("pos").alias("other"), F.expr(f"pos div {within}").alias("cell"))
@@ -117,9 +136,9 @@ class Index:
         return best.select("k1", "k2", "win", F.least("pos", "m.other").alias("first"), F.greatest("pos", "m.other").alias("last"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_rows: int = 1 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(k1, k2, n_hit, item_ids, spans) of the documents, as common.keyed(), in which a window occurs; spans: (first word, number of words)."""
-    found = Index(docs, items, size, broadcast_rows).matches()
+    found = Index(docs, items, size, broadcast_bytes).matches()
     spans = F.collect_set(F.struct("start", "k"))
     places = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["k"] - 1)))
     return (

@@ -76,3 +76,15 @@ def test_stage_nulls_and_empty(spark):
     assert phraseindex.contamination(common.keyed(docs.limit(0)), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert phraseindex.contamination(common.keyed(docs), spark.createDataFrame([], ITEM)).count() == 0
     assert phraseindex.stage.__doc__ and docs.withColumn("z", F.lit(1)).count() == 5
+
+
+def test_without_broadcasts(spark):
+    """The same hits whatever the bound on what is broadcast; sizes are counted in bytes."""
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "é short"), (None, None)], "item_id long, text string")
+    rows = [(1, "x one two three four five six seven eight nine ten y"), (2, "an é short one"), (3, None), (4, "two one")]
+    docs = common.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    hits = [sorted((r.k1, r.n_hit, sorted(r.item_ids)) for r in phraseindex.contamination(docs, items, broadcast_bytes=n).collect()) for n in (0, 1 << 20)]
+    assert hits[0] == hits[1] == [(1, 10, [1]), (2, 2, [2])]
+    assert phraseindex.measured(spark.createDataFrame([("é",), (None,)], "w string")) == 32 + 18 + 32 + 8
+    assert phraseindex.measured(spark.createDataFrame([(["a", "bc"], 1)], "w array<string>, n long")) == 32 + 16 + 17 + 18 + 8
+    assert phraseindex.measured(docs.limit(0)) == 0
