@@ -152,8 +152,20 @@ def select_title(original: Column, translated: Column, custom: str = "", transla
 
 
 def human_size(n: Column) -> Column:
-    kb, mb = n / F.lit(1024.0), n / F.lit(1048576.0)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
+    """Bytes as B, KB or MB, the latter two to one decimal; halves go to the even digit, as in C and Rust, and not up, as in Java."""
+    n = n.cast("long")
+
+    def tenths(bits: int) -> Column:
+        # of the rest alone, which can't overflow; ten times the whole is even
+        rest = n.bitwiseAND(F.lit((1 << bits) - 1)) * 10
+        return F.shiftright(rest + F.lit((1 << bits - 1) - 1) + F.shiftright(rest, bits).bitwiseAND(F.lit(1)), bits)
+
+    def shown(bits: int, unit: str) -> Column:
+        t = tenths(bits)
+        whole = F.shiftright(n, bits) + F.when(t == 10, 1).otherwise(0)
+        return F.concat(whole.cast("string"), F.lit("."), (t % 10).cast("string"), F.lit(unit))
+
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, shown(10, " KB")).otherwise(shown(20, " MB"))
 
 
 def endpoint_url(base: Column, suffix: str) -> Column:
