@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -39,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> DataFrame:
+    """The rows as of cut(), with the disk given back of what they were made from.
+
+    Shuffles and cut rows that nothing holds any more stay on disk until the
+    driver collects its garbage, which a driver with room to spare doesn't do
+    for minutes: the next shuffles would come on top of them.
+    """
+    out = cut(df)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of whatever file system the path names; nothing happens if it isn't there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -228,7 +228,7 @@ def repeated_starts(docs: DataFrame, length: int = 400, q: int = 128, bucket_byt
             .filter("n > 1 or loops")
             .select("bucket", F.when(F.lit(level == length) | (F.col("n") > 1) & (F.col("low") == F.col("high")), "same").when(F.col("size") > bucket_bytes, "large").otherwise("mixed").alias("state"))
         )
-        marked = common.cut(common.split_join(rows.drop("again"), buckets, ["bucket"]))
+        marked = common.released(common.split_join(rows.drop("again"), buckets, ["bucket"]))
         found.append(marked.filter("state = 'same'").select("k1", "k2", "start", "stop"))
         mixed, large = marked.filter("state = 'mixed'"), marked.filter("state = 'large'")
         more = level < length and not large.isEmpty()
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, q: int = 128, bucket_byte
     def ranges(starts: DataFrame, stop: Column, name: str) -> DataFrame:
         return starts.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", stop.alias("stop"))).alias(name))
 
-    first = common.cut(ranges(repeated_starts(keys, near, min(q, near // 2), bucket_bytes), F.col("stop"), "ranges"))
+    first = common.released(ranges(repeated_starts(keys, near, min(q, near // 2), bucket_bytes), F.col("stop"), "ranges"))
     within = first.mapInArrow(lambda it: inner(it, length - near), "k1 long, k2 long, ranges array<struct<start:int,stop:int>>")
     gone = ranges(repeated_starts(keys, length, q, bucket_bytes, within), F.col("stop") - 1 + length, "ranges")
     told = first.select("k1", "k2", F.transform("ranges", lambda r: F.struct(r["start"].alias("start"), (r["stop"] - 1 + near).alias("stop"))).alias("near"))

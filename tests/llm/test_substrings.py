@@ -1,11 +1,13 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from folioflow.llm import substrings
+from folioflow.llm import common, substrings
 
 SCHEMA = "doc_id long, text string, k1 string, bucket int"
 
@@ -79,3 +81,15 @@ def test_refine_classes():
             else:
                 assert seen.setdefault(bucket[b + i], t[i : i + 11]) == t[i : i + 11]
     assert len(seen) == len({t[i : i + 11] for t in texts for i in range(len(t) - 10)})
+
+
+def test_disk_of_earlier_steps_is_given_back(spark):
+    shuffles = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.sha2((F.col("id") % 2000).cast("string"), 512).alias("text"))
+    before = shuffles().size()
+    out = common.released(docs.groupBy("text").agg(F.count("*").alias("n")))
+    end = time.time() + 10
+    while shuffles().size() > before and time.time() < end:
+        time.sleep(0.1)
+    assert shuffles().size() <= before
+    assert sorted(r.n for r in out.collect()) == [1] * 1000 + [2] * 1000
