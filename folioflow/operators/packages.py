@@ -10,7 +10,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import unquote
 
 import pandas as pd
@@ -55,6 +56,7 @@ def events(xml: str) -> Iterator[tuple[str, str, dict[str, str] | str, int, int]
         yield "text", "", xml_text(xml[at:]), at, len(xml)
 
 
+@lru_cache(64)  # most books have the same one
 def container_path(xml: str) -> str:
     """The package file that a container names first."""
     for kind, name, attributes, _, _ in events(xml):
@@ -217,6 +219,20 @@ def archive_violations(members: DataFrame) -> DataFrame:
     return members.withColumn("running", running).withColumn("nth", nth).select("book", "idx", "name", what.alias("violation")).filter("violation is not null")
 
 
+def violation_of(members: Iterable[tuple[str, int, int]]) -> tuple[str, str] | None:
+    """(name, violation) of the first of an archive's members (name, size, csize) that breaks a limit, as of archive_violations."""
+    seen: set[str] = set()
+    running = 0
+    for name, size, csize in members:
+        running += size
+        checks = ((name in seen, "repeated name"), (size > MEMBER_BYTES, "member too large"), (running > TOTAL_BYTES, "archive too large"), (size > RATIO_FROM and csize > 0 and size // csize > RATIO, "suspicious ratio"))
+        for broken, said in checks:
+            if broken:
+                return name, said
+        seen.add(name)
+    return None
+
+
 def missing_members(order: DataFrame, members: DataFrame) -> DataFrame:
     """Text files of the order whose archive lacks them: an error for the book."""
     return order.join(members.select("book", F.col("name").alias("resolved")), ["book", "resolved"], "left_anti")

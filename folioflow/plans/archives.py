@@ -120,7 +120,12 @@ def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.col("book").cast("long") % 2 == 1
     content = [F.when(wide, F.encode(p, "UTF-16")).otherwise(F.encode(p, "UTF-8")) if p is one else F.encode(p, "UTF-8") for p in parts]
     members = F.array(*(F.struct(F.lit(i).alias("idx"), F.lit(name).alias("name"), c.alias("content")) for i, (name, c) in enumerate(zip(MEMBERS, content, strict=True))))
-    return books.pack_members(d.select("book", F.explode(members).alias("m")).select("book", "m.*"))
+    packed = books.pack_members(d.select("book", F.explode(members).alias("m")).select("book", "m.*"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None and (shared := spark.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(shared)
+    # stored where there is a folder for it, since each reader would pack the books again
+    return packed.checkpoint() if context.getCheckpointDir() else packed
 
 
 #: WITH-clause entry `elements`: all elements of the books in reading order.

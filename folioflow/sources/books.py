@@ -9,13 +9,16 @@ import io
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import names
 from ..operators import markup, packages
@@ -25,7 +28,7 @@ EXTENSIONS = "epub mobi azw3 azw fb2 pdf rtf txt docx html htm odt pdb cbz cbr".
 NATIVE = "epub"
 
 #: Bounds of what a task hands on at a time.
-FRAME_BYTES, FRAME_ROWS = 16 << 20, 1000
+FRAME_BYTES, FRAME_ROWS = 16 << 20, 10_000
 
 #: What files begin with that aren't whole yet.
 HIDDEN = ".folioflow-"
@@ -50,59 +53,69 @@ def epub_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
 
 
-def members_of(files: DataFrame, with_content: bool = True) -> DataFrame:
-    """One row for each file in each archive of files(path, content), in archive order. Each archive is read by one task."""
+def members_of(files: DataFrame, with_content: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each file in each archive of files(path, content), in archive order, with the columns to keep of its archive. Each archive is read by one task."""
 
-    def rows(book: str, data: bytes) -> Iterator[tuple]:
+    def rows(book: str, data: bytes, *kept) -> Iterator[tuple]:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for i, m in enumerate(z.infolist()):  # none over the limit is unpacked
                 body = z.read(m) if with_content and m.file_size <= packages.MEMBER_BYTES else None
-                yield book, i, m.filename, m.file_size, m.compress_size, body
+                yield book, i, m.filename, m.file_size, m.compress_size, body, *kept
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _framed((r for pdf in frames for book, data in zip(pdf["path"], pdf["content"], strict=True) for r in rows(book, data)), ["book", "idx", "name", "size", "csize", "content"])
+    more = files.select(*keep).schema
+    schema = T.StructType([*T._parse_datatype_string(MEMBER).fields, *more.fields])
+    return _rows_of(files.select("path", "content", *keep), rows, schema)
 
-    return files.select("path", "content").mapInPandas(run, MEMBER)
 
+def _rows_of(files: DataFrame, rows: Callable[..., Iterator[tuple]], schema: T.StructType) -> DataFrame:
+    """What rows(*columns) gives for each row of the files, in batches of a bounded number of bytes (and one row at least)."""
+    arrow = to_arrow_schema(schema)
 
-def _framed(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows in frames that hold a bounded number of bytes (and one row at least)."""
-    held, size = [], 0
-    for r in rows:
-        held.append(r)
-        size += sum(len(v) for v in r if isinstance(v, bytes))
-        if size >= FRAME_BYTES or len(held) >= FRAME_ROWS:
-            yield pd.DataFrame(held, columns=columns)
-            held, size = [], 0
-    if held:
-        yield pd.DataFrame(held, columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for r in rows(*(c[i].as_py() for c in batch.columns)):
+                    held.append(r)
+                    size += sum(len(v) for v in r if isinstance(v, (bytes, str)))
+                    if size >= FRAME_BYTES or len(held) >= FRAME_ROWS:
+                        yield _batch(held, arrow)
+                        held, size = [], 0
+        if held:
+            yield _batch(held, arrow)
 
+    return files.mapInArrow(run, schema)
 
-def pack_members(members: DataFrame) -> DataFrame:
-    """members(book, idx, name, content) as files(path, content): an archive a book. A book's members meet in one task, as they do in its file."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
-            for name, data in pdf.sort_values("idx")[["name", "content"]].itertuples(index=False):
-                w.writestr(zipfile.ZipInfo(name), bytes(data), zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"path": [pdf["book"].iloc[0]], "content": [out.getvalue()]})
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return members.select("book", "idx", "name", "content").groupBy("book").applyInPandas(run, "path string, content binary")
 
+def pack_members(members: DataFrame) -> DataFrame:
+    """members(book, idx, name, content) as files(path, content): an archive a book. A book's members meet in one task, as they do in its file."""
 
-def package_files(files: DataFrame) -> DataFrame:
-    """(book, path, content) of the package file of each of files(path, content), found through its container; no other member is unpacked."""
-
-    def row(book: str, data: bytes) -> tuple:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            path = packages.container_path(markup.decode_page(_small(z, "META-INF/container.xml")))
-            return book, path, _small(z, path)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _framed((row(book, data) for pdf in frames for book, data in zip(pdf["path"], pdf["content"], strict=True)), ["book", "path", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+        book, out, archive, done, size = None, None, None, [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, name, data = (c[i].as_py() for c in batch.columns)
+                if archive is None or own != book:
+                    if archive is not None:
+                        archive.close()
+                        done.append((book, out.getvalue()))
+                        size += len(done[-1][1])
+                        if size >= FRAME_BYTES or len(done) >= FRAME_ROWS:
+                            yield _batch(done, schema)
+                            done, size = [], 0
+                    book, out = own, io.BytesIO()
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED)
+        if archive is not None:
+            archive.close()
+            yield _batch([*done, (book, out.getvalue())], schema)
 
-    return files.select("path", "content").mapInPandas(run, "book string, path string, content binary")
+    return members.select("book", "idx", "name", "content").repartition("book").sortWithinPartitions("book", "idx").select("book", "name", "content").mapInArrow(run, "path string, content binary")
 
 
 def _small(z: zipfile.ZipFile, name: str) -> bytes:
@@ -120,77 +133,58 @@ def scan_files(files: DataFrame, rules: markup.Rules = markup.Rules(), only_file
     """All elements of the EPUBs files(path, content), keyed and in reading order: metadata, contents, then text.
 
     (book, ord, kind, page, key, raw, original, ignored, id, signature). A book
-    whose archive breaks a limit, or lacks a text file, raises.
+    whose archive breaks a limit, or lacks a text file, raises. The files are
+    read twice: once for that, without their text, and once for the elements,
+    a book by one task.
     """
-    members = members_of(files, with_content=False)  # what archives list is read apart from what they hold
-    bad = packages.archive_violations(members).select(F.concat_ws(": ", "book", "violation", "name").alias("what")).limit(1).collect()
-    if bad:
-        raise ValueError(bad[0].what)
-    opfs = package_files(files)
-    told = packages.package_rows(opfs)
-    items = packages.manifest(told)
-    contents = contents_of(told, items)
-    order = ordered_files(told, items, contents).filter(names.file_selected(F.col("href"), only_files, exclude_files))
-    lacking = packages.missing_members(order, members).limit(1).collect()
-    if lacking:
-        raise ValueError(f"{lacking[0].book}: the file {lacking[0].href} is missing")
-    held = members_of(files).select("book", F.col("name").alias("resolved"), "content")
-    text = _decoded(order.join(held, ["book", "resolved"]).select("book", F.col("href").alias("page"), "place", "content"))
-    body = markup.extract_pages(text, rules).join(order.select("book", F.col("href").alias("page"), "place"), ["book", "page"])
-    toc = _contents(contents.join(held, ["book", "resolved"]).select("book", "href", "format", "content"))
-    meta = _metadata(opfs, translate_metadata, translate_title)
-    number = F.regexp_extract("key", r"(\d+)$", 1).cast("long")
-    every = meta.select("*", F.lit(0).alias("part"), F.lit(0).alias("place"), F.col("seq").alias("nth")).drop("seq").unionByName(toc.select("*", F.lit(1).alias("part"), F.lit(0).alias("place"), number.alias("nth"))).unionByName(body.select("book", "page", "kind", "key", "raw", "original", "ignored", F.lit(2).alias("part"), "place", number.alias("nth")))
-    rank = F.expr("row_number() over (partition by book order by part, place, nth) - 1")
-    return markup.keyed_elements(every).withColumn("ord", rank.cast("long")).drop("part", "place", "nth")
-
-
-def contents_of(told: DataFrame, items: DataFrame) -> DataFrame:
-    """(book, id, href, format, resolved): the table of contents that is used - the first nav item, else the first NCX."""
-    nav = items.filter(F.array_contains("properties", "nav")).groupBy("book").agg(F.min_by(F.struct("id", "href", F.lit("nav").alias("format")), "pos").alias("c"))
-    by_spine = items.join(told.select("book", "toc"), "book").filter((names.ascii_lower(F.col("media_type")) == packages.NCX) | (F.col("toc") != "") & (F.col("id") == F.col("toc")))
-    ncx = by_spine.groupBy("book").agg(F.min_by(F.struct("id", "href", F.lit("ncx").alias("format")), "pos").alias("n"))
-    used = told.select("book", "path").join(nav, "book", "left").join(ncx, "book", "left")
-    return used.select("book", "path", F.coalesce("c", "n").alias("u")).filter("u is not null").select("book", "u.id", "u.href", "u.format", names.resolve_href(F.col("path"), F.col("u.href")).alias("resolved"))
-
-
-def ordered_files(told: DataFrame, items: DataFrame, contents: DataFrame) -> DataFrame:
-    """(book, place, href, resolved) of the text files in reading order."""
-    marked = items.join(contents.select("book", "id", F.lit(True).alias("toc_item")), ["book", "id"], "left")
-    order = packages.content_order(marked, packages.spine(told), F.array_contains("properties", "nav") | F.coalesce("toc_item", F.lit(False)))
-    return order.join(told.select("book", "path"), "book").select("book", "place", "href", names.resolve_href(F.col("path"), F.col("href")).alias("resolved"))
-
-
-def _decoded(pages: DataFrame) -> DataFrame:
-    decode = F.pandas_udf(_decode, "string")
-    return pages.withColumn("html", decode("content")).drop("content")
-
-
-def _decode(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: markup.decode_page(bytes(c)), na_action="ignore")
-
-
-def _contents(files: DataFrame) -> DataFrame:
-    nav = markup.extract_pages(_decoded(files.filter("format = 'nav'").select("book", F.col("href").alias("page"), "content")), kind="toc")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(b, h, "toc", k, "text", t, False) for b, h, c in zip(pdf["book"], pdf["href"], pdf["content"], strict=True) for k, t in packages.ncx_units(markup.decode_page(bytes(c)))]
-            yield pd.DataFrame(rows, columns=["book", "page", "kind", "key", "raw", "original", "ignored"])
+    def faults(book: str, data: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            listed = z.infolist()
+            if bad := packages.violation_of((m.filename, m.file_size, m.compress_size) for m in listed):
+                yield (f"{book}: {bad[1]}: {bad[0]}",)
+                return
+            path, xml = _package(z)
+            told = packages.package_of(xml)
+            held = {m.filename for m in listed}
+            for href in _text_files(told):
+                if _selected(href, only_files, exclude_files) and _resolved(path, href) not in held:
+                    yield (f"{book}: the file {href} is missing",)
+
+    def elements(book: str, data: bytes) -> Iterator[tuple]:
+        compiled = rules.compiled()
+        for ord_, (kind, page, key, raw, original, ignored) in enumerate(_elements(data, compiled, only_files, exclude_files, translate_metadata, translate_title)):
+            yield book, page, kind, key, raw, original, ignored, ord_
 
-    return nav.unionByName(files.filter("format = 'ncx'").select("book", "href", "content").mapInPandas(run, markup.UNIT))
+    bad = _rows_of(files.select("path", "content"), faults, T._parse_datatype_string("what string")).agg(F.min("what")).first()[0]
+    if bad:
+        raise ValueError(bad)
+    found = _rows_of(files.select("path", "content"), elements, T._parse_datatype_string(markup.UNIT + ", ord long"))
+    return markup.keyed_elements(found)
 
 
-def _metadata(opfs: DataFrame, metadata: bool, title: bool) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for b, p, c in zip(pdf["book"], pdf["path"], pdf["content"], strict=True):
-                for seq, (key, field, text) in enumerate(packages.metadata_units(markup.decode_page(bytes(c)))):
-                    rows.append((b, p, "metadata", key, field, text, not (metadata or title and field == "title"), seq))
-            yield pd.DataFrame(rows, columns=["book", "page", "kind", "key", "raw", "original", "ignored", "seq"])
+def _package(z: zipfile.ZipFile) -> tuple[str, str]:
+    """Where the package file is, found through the container, and what it holds."""
+    path = packages.container_path(markup.decode_page(_small(z, "META-INF/container.xml")))
+    return path, markup.decode_page(_small(z, path))
+
 
-    return opfs.mapInPandas(run, markup.UNIT + ", seq long")
+def _elements(data: bytes, rules, only_files: str, exclude_files: str, metadata: bool, title: bool) -> Iterator[tuple]:
+    """(kind, page, key, raw, original, ignored) of a book's elements in reading order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        path, xml = _package(z)
+        told = packages.package_of(xml)
+        for key, field, text in packages.metadata_units(xml):
+            yield "metadata", path, key, field, text, not (metadata or title and field == "title")
+        item, form = _used_contents(told)
+        if item and (at := _resolved(path, item[1])) in z.NameToInfo:
+            page = markup.decode_page(z.read(at))
+            for k, raw, text in markup.nav_units(page) if form == "nav" else ((k, "text", t) for k, t in packages.ncx_units(page)):
+                yield "toc", item[1], str(k), raw, text, False
+        for href in _text_files(told):
+            if _selected(href, only_files, exclude_files):
+                for k, raw, text, ignored in markup.body_units(markup.decode_page(z.read(_resolved(path, href))), rules):
+                    yield "body", href, str(k), raw, text, ignored
 
 
 def rewrite_epub(data: bytes, translations: dict[str, str], rules: markup.Rules, look: markup.Look, title: str | None = None, only_files: str = "", exclude_files: str = "") -> tuple[bytes, int]:
@@ -202,16 +196,13 @@ def rewrite_epub(data: bytes, translations: dict[str, str], rules: markup.Rules,
         told = packages.package_of(xml)
         changed: dict[str, str] = {}
         changed[path], n = packages.rewrite_metadata(xml, path, translations, look.position, told["title"] if title is None else title)
-        items = told["items"]
-        nav = next((i for i in items if "nav" in i[3]), None)
-        ncx = next((i for i in items if i[2].lower() == packages.NCX or told["toc"] and i[0] == told["toc"]), None)
-        used = nav or ncx
+        used, form = _used_contents(told)
         if used and (at := _resolved(path, used[1])) in read:
-            inject = markup.inject_nav if nav else packages.rewrite_ncx
+            inject = markup.inject_nav if form == "nav" else packages.rewrite_ncx
             changed[at], k = inject(markup.decode_page(z.read(at)), used[1], translations, look.position)
             n += k
         compiled = rules.compiled()
-        for href in _text_files(told, nav, ncx):
+        for href in _text_files(told):
             if _selected(href, only_files, exclude_files):
                 at = _resolved(path, href)
                 page = markup.decode_page(z.read(at))
@@ -230,12 +221,10 @@ def rewrite_books(files: DataFrame, translations: DataFrame, rules: markup.Rules
     """files(path, content) with translations(book, id, translation) of their path put in: (path, content, injected), the last how many."""
     said = translations.filter(F.col("translation").isNotNull()).groupBy(F.col("book").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("id", "translation"))).alias("said"))  # one book's text, which its file holds too
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        books_ = (row for pdf in frames for row in zip(pdf["path"], pdf["content"], pdf["said"], strict=True))
-        made = ((path, *rewrite_epub(bytes(data), dict(told) if told is not None else {}, rules, look, title, only_files, exclude_files)) for path, data, told in books_)
-        return _framed(made, ["path", "content", "injected"])
+    def rows(path: str, data: bytes, told: list | None) -> Iterator[tuple]:
+        yield path, *rewrite_epub(data, dict(told or []), rules, look, title, only_files, exclude_files)
 
-    return files.select("path", "content").join(said, "path", "left").mapInPandas(run, "path string, content binary, injected long")
+    return _rows_of(files.select("path", "content").join(said, "path", "left").select("path", "content", "said"), rows, T._parse_datatype_string("path string, content binary, injected long"))
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
@@ -275,17 +264,27 @@ def _selected(href: str, only: str, exclude: str) -> bool:
     return (not wanted or bool(ways & wanted)) and not ways & unwanted
 
 
-def _text_files(told: dict, nav, ncx) -> list[str]:
+def _used_contents(told: dict) -> tuple:
+    """The item that is the table of contents, the first nav one or else the first NCX, and its format; None for both without any."""
+    if nav := next((i for i in told["items"] if "nav" in i[3]), None):
+        return nav, "nav"
+    ncx = next((i for i in told["items"] if i[2].lower() == packages.NCX or told["toc"] and i[0] == told["toc"]), None)
+    return ncx, "ncx" if ncx else None
+
+
+def _text_files(told: dict) -> list[str]:
+    """The text files: those of the spine where it names them first, then the rest by href; of items with one href the first stands for it."""
+    used = _used_contents(told)[0]
+
     def text(i) -> bool:
-        return i is not nav and i is not ncx and i[2].lower() != packages.NCX and ("html" in i[2] or i[2] in ("application/xml", "text/xml") or i[1].lower().endswith((".xhtml", ".html", ".htm", ".xht", ".xml")))
+        return "nav" not in i[3] and not (used and i[0] == used[0]) and i[2].lower() != packages.NCX and ("html" in i[2] or i[2] in ("application/xml", "text/xml") or i[1].lower().endswith((".xhtml", ".html", ".htm", ".xht", ".xml")))
 
     by_id = {i[0]: i[1] for i in told["items"]}
     first = {}
     for i in told["items"]:
         first.setdefault(i[1], i)
-    spine = [h for r in told["idrefs"] if (h := by_id.get(r)) is not None and text(first[h])]
-    order = list(dict.fromkeys(spine))
-    return order + sorted(i[1] for i in told["items"] if i[1] not in order and text(i))
+    order = dict.fromkeys(h for r in told["idrefs"] if (h := by_id.get(r)) is not None and text(first[h]))
+    return [*order, *sorted(h for h, i in first.items() if h not in order and text(i))]
 
 
 class EpubSource(DataSource):

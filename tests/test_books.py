@@ -77,3 +77,27 @@ def test_violations(spark):
     assert [(r.book, r.idx, r.violation) for r in got] == [("b", 1, "repeated name"), ("b", 2, "member too large"), ("b", 3, "suspicious ratio")]
     big = spark.range(30).select(F.lit("d").alias("book"), F.col("id").cast("int").alias("idx"), F.col("id").cast("string").alias("name"), F.lit(200 << 20).alias("size"), F.lit(200 << 20).alias("csize"))
     assert {r.violation for r in packages.archive_violations(big).collect()} == {"archive too large"}
+
+
+def test_scan_reads_each_book_in_one_pass(spark, folder, capsys):
+    (folder / ".hidden.epub").unlink()
+    books.scan_books(spark, str(folder)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1 and "Exchange" not in plan
+
+
+def test_a_file_that_the_manifest_names_twice_is_read_once(spark, tmp_path):
+    twice = OPF.replace('<item id="i"', '<item id="x2" href="extra.xhtml" media-type="application/xhtml+xml"/><item id="i"')
+    (tmp_path / "t.epub").write_bytes(epub(**{"OEBPS/content.opf": twice}))
+    rows = books.scan_books(spark, str(tmp_path / "t.epub")).filter("page = 'extra.xhtml'").collect()
+    assert [(r.key, r.original) for r in rows] == [("0", "Notes here.")]
+    said = {packages.keys.uid_of("body", "extra.xhtml", 0): "Notizen."}
+    assert books.rewrite_epub((tmp_path / "t.epub").read_bytes(), said, markup.Rules(), markup.Look())[1] == 1
+
+
+def test_violations_stop_a_scan(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "r.epub", "w") as z, pytest.warns(UserWarning, match="Duplicate"):
+        z.writestr("a", "1")
+        z.writestr("a", "2")
+    with pytest.raises(ValueError, match="r.epub: repeated name: a"):
+        books.scan_books(spark, str(tmp_path / "r.epub"))
