@@ -172,7 +172,7 @@ def book_rewrite(spark, sf_dir):
     first = (F.col("page") == "text/one.xhtml") | (F.col("kind") == "toc") & (F.col("original") != "Two & more")
     said = found.filter(first & ~F.col("ignored")).select("book", "id", F.concat(F.lit("T "), "original").alias("translation"))
     made = books.rewrite_books(files, said, look=markup.Look(position="below", lang="de", direction="ltr"), title="Mine & more")
-    members = books.members_of(made).join(made.select(F.col("path").alias("book"), "injected"), "book")
+    members = books.members_of(made, keep=("injected",))
     read = F.when(F.startswith("content", F.lit(b"\xfe\xff")), F.decode("content", "UTF-16")).otherwise(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
     return members.select("book", "name", read.alias("content"), "injected")
 

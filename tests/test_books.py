@@ -101,3 +101,9 @@ def test_violations_stop_a_scan(spark, tmp_path):
         z.writestr("a", "2")
     with pytest.raises(ValueError, match="r.epub: repeated name: a"):
         books.scan_books(spark, str(tmp_path / "r.epub"))
+
+
+def test_members_with_columns_of_their_archive(spark):
+    files = spark.createDataFrame([("p", epub(), 3)], "path string, content binary, injected long")
+    rows = books.members_of(files, keep=("injected",)).orderBy("idx").collect()
+    assert len(rows) == 7 and {(r.book, r.injected) for r in rows} == {("p", 3)} and rows[0].name == "mimetype"
