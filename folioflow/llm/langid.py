@@ -262,27 +262,29 @@ FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.D
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, score and rejected; columns of these names give way."""
+    """docs with lang_pred, score and rejected; columns of these names give way.
+
+    Only the lower-cased text goes to Python and only the three results come
+    back, so a batch takes its text's size once there and once on its way.
+    """
     kept = docs.drop(*(f.name for f in FIELDS))
-    low = "__lower"
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return kept.select("*", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers: a fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m: Model = shared.value
         names = np.array([*m.langs, UNDETERMINED], object)
-        for batch in batches:
-            named, score, known = m.judge(*utf8(batch.column(low)))
-            letters = batch.column("__lettered").to_numpy(zero_copy_only=False)
+        for low in batches:
+            named, score, known = m.judge(*utf8(low))
+            letters = low.is_valid().to_numpy(zero_copy_only=False)
             named, score = np.where(letters, named, len(m.langs)), np.where(letters, score, 0.0)
-            cols = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in (low, "__lettered")]
-            fields = [batch.schema.field(i) for i, n in enumerate(batch.schema.names) if n not in (low, "__lettered")]
-            more = [pa.array(names[named].tolist(), pa.string()), pa.array(score), pa.array((score < m.reject_below) | (known < m.known_below) | ~letters)]
-            yield pa.RecordBatch.from_arrays([*cols, *more], schema=pa.schema([*fields, ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
+            columns = [pa.array(names[named].tolist(), pa.string()), pa.array(score), pa.array((score < m.reject_below) | (known < m.known_below) | ~letters)]
+            yield pa.StructArray.from_arrays(columns, names=[f.name for f in FIELDS])
 
-    return kept.withColumns({low: F.lower(F.coalesce(F.col("text"), F.lit(""))), "__lettered": lettered}).mapInArrow(run, T.StructType([*kept.schema.fields, *FIELDS]))
+    # a text without letters goes as null; as one that isn't deterministic, a filter on the outcome doesn't repeat the work
+    judged = F.arrow_udf(run, T.StructType(FIELDS)).asNondeterministic()(F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")))
+    return kept.withColumn("__judged", judged).select(*(F.col(f"`{c}`") for c in kept.columns), *(F.col(f"__judged.{f.name}").alias(f.name) for f in FIELDS))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

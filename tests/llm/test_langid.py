@@ -123,3 +123,13 @@ def test_stage_leaves_columns_of_the_results_names(spark):
     got = langid.stage(spark, docs, "")
     assert got.schema == docs.schema
     assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_only_the_text_goes_to_python_and_once(spark, tmp_path, capsys):
+    model = langid.train([("the cat sat on the mat", "en"), ("der hund lag auf dem sofa", "de")] * 10)
+    spark.createDataFrame([(1, "the cat", "x"), (2, None, "y"), (3, "12", "z")], "doc_id long, text string, other string").write.parquet(str(tmp_path / "d"))
+    got = langid.identify(spark.read.parquet(str(tmp_path / "d")), model).filter("not rejected or other <> 'x'")
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    assert {(r.doc_id, r.text, r.lang_pred, r.score) for r in got.filter("other <> 'x'").collect()} == {(2, None, "und", 0.0), (3, "12", "und", 0.0)}
